@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from stepgauge.llm.store import Sent
 from stepgauge.llm.wordscan import IS_WORD, LOWER, chunks, mix, runs, span_hashes, utf8
 
-MAX_ROWS, MAX_CHARS, ACCEPT, SEED = 6000, 100_000, 0.3, 31
+MAX_ROWS, MAX_CHARS, ACCEPT, SEED = 3000, 20_000, 0.3, 31
 DIM, HIDDEN, TERMS, MIN_COUNT, NONZERO = 96, 24, 20_000, 5, 6
 
 SPACE = np.zeros(256, bool)
@@ -119,12 +119,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def random_indexing(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+class AllTokens:
+    """The tokens of many chunks, without the arrays over bytes."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+        hashes, shapes, docs = [], [], []
+        for a, b in chunks(offsets, 1_000_000):
+            t = Tokens(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            hashes.append(t.hash)
+            shapes.append(t.shape.astype(np.int8))
+            docs.append((t.doc + a).astype(np.int32))
+        self.hash, self.shape, self.doc = np.concatenate(hashes), np.concatenate(shapes), np.concatenate(docs)
+
+
+def random_indexing(t: AllTokens) -> tuple[np.ndarray, np.ndarray]:
     """Terms of the training texts, sorted, and their vectors; the last row is for all other terms."""
     terms, of, count = np.unique(t.hash, return_inverse=True, return_counts=True)
     often = np.flatnonzero(count >= MIN_COUNT)
     often = np.sort(often[np.argsort(-count[often], kind="stable")[:TERMS]])
-    row = np.full(terms.size, often.size)
+    row = np.full(terms.size, often.size, np.int32)
     row[often] = np.arange(often.size)
     row = row[of]
     own = np.concatenate([index_vectors(terms[often]), np.zeros((1, DIM), np.float32)])
@@ -141,8 +154,10 @@ def random_indexing(t: Tokens) -> tuple[np.ndarray, np.ndarray]:
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             sums[part[at]] += np.add.reduceat(own[b[lo : lo + (1 << 16)]], at, axis=0)
         n += np.bincount(a, minlength=n.size)
-    np.add.at(sums, row, shapes[t.shape])
-    n += np.bincount(row, minlength=n.size)
+    for shape in range(5):
+        met = np.bincount(row[t.shape == shape], minlength=n.size).astype(np.float32)
+        sums += met[:, None] * shapes[shape]
+        n += met
     return terms[often], own + sums / np.maximum(n, 1)[:, None]
 
 
@@ -154,8 +169,8 @@ def fit(texts: list[str | None], labels: np.ndarray, apart: np.ndarray, seed: in
     if not 0 < labels[train].sum() < train.sum():
         return model
     data, offsets = utf8(pa.array(texts, pa.string()))
-    model.terms, model.vectors = random_indexing(Tokens(data, offsets))
-    x = np.concatenate([model.features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets)])
+    model.terms, model.vectors = random_indexing(AllTokens(data, offsets))
+    x = np.concatenate([model.features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in chunks(offsets, 1_000_000)])
     model.mean, model.scale = x[train].mean(0), x[train].std(0) + 1e-3
     z, y = ((x - model.mean) / model.scale)[train].astype(np.float64), labels[train]
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-6), 0.5 / max(1 - y.mean(), 1e-6))
