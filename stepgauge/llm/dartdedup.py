@@ -206,7 +206,8 @@ def classes(docs: DataFrame) -> DataFrame:
     open_pairs = scratch.keep(open_pairs.select("a", "b"))
     first = known.select("content", F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version"))
     ends = scratch.keep(open_pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct().join(first, "content"))
-    full = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("v"), "text")
+    # by shuffle at every size: ``ends`` grows with the input, so a plan that sends it to all executors would not last
+    full = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("v"), "text").hint("merge")
     texts = scratch.keep(full.join(ends, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version"))).select("content", "text").dropDuplicates(["content"]))
     both = open_pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
     near = both.mapInArrow(compared, "a binary, b binary")
