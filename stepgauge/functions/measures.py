@@ -9,7 +9,8 @@ DIGITS = 6
 
 
 def rounded(c: Column) -> Column:
-    return F.round(c, DIGITS)
+    """Six digits, halves away from zero; what lies within 1e-12 of a half counts as one, in whatever order it was added up."""
+    return F.round(F.round(c, 2 * DIGITS), DIGITS)
 
 
 def ratio(part: Column, whole: Column, empty: float | None = 0.0) -> Column:

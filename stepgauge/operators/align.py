@@ -62,7 +62,7 @@ def best_matches(rows: DataFrame, keys: list[str], everything: DataFrame | None
 
 
 # Where a required statement comes from, in order of precedence.
-SOURCES = ["global_assumption", "local_assumption", "gt_previous_outcome", "gt_precondition"]
+SOURCES = ["global_assumption", "local_assumption", "previous_outcome", "gt_precondition"]
 
 
 def first_seen(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepgauge.functions.measures import f1, midpoint, ratio, rounded
-from stepgauge.operators.align import SOURCES, best
+from stepgauge.operators.align import best
 
 METRICS = ["mean_best_score", "coverage", "precision", "f1"]
+# A report's columns of required statements, in order.
+SOURCE_METRICS = ["mean_best_score", "recall", "precision", "f1"]
+SOURCE_COLUMNS = ["global_assumption", "local_assumption", "gt_precondition", "previous_outcome"]
 
 
 def dimension_summary(rows: DataFrame, keys: list[str], subkeys: list[str] | None = None) -> DataFrame:
@@ -67,8 +70,7 @@ def reports(cases: DataFrame, group: list[str], model: str = "call1_model", stra
 
 def source_columns(sources: DataFrame, keys: list[str], names: list[str] | None = None) -> DataFrame:
     """Means of the sources' metrics as columns D4_{source}_{metric}; over the cases in which a source occurs."""
-    names = names or SOURCES
-    means = [rounded(F.avg(F.when(F.col("gt_source") == s, F.col(m)))).alias(f"D4_{s}_{m}") for s in names for m in METRICS]
+    means = [rounded(F.avg(F.when(F.col("gt_source") == s, F.col(m)))).alias(f"D4_{s}_{n}") for s in names or SOURCE_COLUMNS for m, n in zip(METRICS, SOURCE_METRICS, strict=True)]
     return sources.groupBy(*keys).agg(*means)
 
 

@@ -12,6 +12,7 @@ from stepgauge.operators import align, coverage, judge, metrics, order
 from stepgauge.operators.align import SOURCES
 from stepgauge.schemas import BEST_COLUMNS, CASE, DIMENSIONS, MATRIX_COLUMNS, ORDER_COLUMNS
 from stepgauge.sources import trees
+from stepgauge.sources.scratch import kept
 
 SUB = [*CASE, "subquestion_index"]
 
@@ -56,6 +57,7 @@ def matched_atoms(predictions: DataFrame, reference: DataFrame, encoder: Encoder
     path = trees.path(F.col("subquestion_index"), F.col("steps"))
     atoms = lambda rows: trees.atoms(rows, CASE).select(*SUB, "atom_index", path.alias("path"), *[_texts(f).alias(f) for f in trees.ATOM_FIELDS])
     fields = {f"v_{f}": f for f in trees.ATOM_FIELDS}
+    # each side's vectors serve two or three dimensions
     gt = with_vectors(atoms(reference), [*SUB, "atom_index"], {k: v for k, v in fields.items() if v != "preconditions"}, encoder)
     model = with_vectors(atoms(predictions), [*SUB, "atom_index"], fields, encoder)
     out = None
@@ -109,6 +111,7 @@ def evaluate(
         fresh = judge.decide(asking, known, template, second)
         decisions = known.select("cache_key", "label", "confidence", "reason", "raw_response").join(asking.select("cache_key").distinct(), "cache_key", "left_semi").withColumn("cache_hit", F.lit(True)).unionByName(fresh.withColumn("cache_hit", F.lit(False)))
         matrix = judge.applied(matrix, decisions, *band)
+    matrix = kept(matrix, "matrix")  # six tables are made from it
     return tables(cases, matrix, reference, limit) | coverage_tables(predictions, ground_truth, expected or {}) | ({"decisions": decisions} if decisions is not None else {})
 
 

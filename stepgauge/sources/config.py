@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
-from string import Template
+from collections.abc import Iterable
+from string import Formatter, Template
 from typing import Any
 
 from pyspark.sql import Column
@@ -25,7 +25,6 @@ MATCH_THRESHOLD, MATRIX_THRESHOLD = 0.415, 0.75
 JUDGE_LOW, JUDGE_HIGH = 0.375, 1.0
 OUTPUT_MODES = ("plain_text", "yaml")
 CONVERSION_TEMPLATES = ("per_question_conversion", "repair")
-ANSWER_KEYS = ("solution", "ground_truth", "answer", "expected_answer", "atoms")
 
 
 def load(path: str) -> dict:
@@ -140,8 +139,6 @@ def judge_band(settings: dict, language: Column, low: float | None = None, high:
 
 def formatted(template: str, values: dict[str, Column]) -> Column:
     """A path template with {name} filled in from columns."""
-    from string import Formatter
-
     parts: list[Column] = []
     for text, name, _, _ in Formatter().parse(template):
         parts.append(F.lit(text))
@@ -156,5 +153,3 @@ def filled(template: str, values: dict[str, str]) -> str:
     """A prompt template with $name filled in, in one pass."""
     return Template(template).safe_substitute(values)
 
-
-Checker = Callable[[dict], None]

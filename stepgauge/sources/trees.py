@@ -90,13 +90,17 @@ def flat_atoms(tree: Any) -> list[dict]:
     return out
 
 
-def exercise_row(data: dict) -> dict:
-    """An exercise's or prediction's mapping as a row of the EXERCISE schema."""
+# Where a reference answer stands, in order.
+ANSWER_KEYS = ("solution", "ground_truth", "answer", "expected_answer", "atoms")
+
+
+def exercise_row(data: dict, answers: bool = False) -> dict:
+    """An exercise's or prediction's mapping as a row of the EXERCISE schema; ``answers``: with the reference answers, as YAML if they are trees."""
     subs = data.get("subquestions")
     rows = []
     for sub in subs if isinstance(subs, list) else []:
         sub = sub if isinstance(sub, dict) else {}
-        answer = next((a for k in ("solution", "ground_truth", "answer", "expected_answer", "atoms") if (a := sub.get(k)) not in (None, "", [], ())), None)
+        answer = next((a for k in ANSWER_KEYS if (a := sub.get(k)) not in (None, "", [], ())), None) if answers else None
         rows.append({"question": str(sub.get("question") or ""), "assumptions": texts_of(sub.get("assumptions") or []), "answer": answer if isinstance(answer, str) or answer is None else dumped(answer).strip(), "atoms": flat_atoms(sub.get("atoms"))})
     return {"context": str(data.get("context") or ""), "assumption_global": texts_of(data.get("assumption_global") or []), "subquestions": rows, "error": None}
 
@@ -208,7 +212,7 @@ def _empty(error: str) -> dict:
     return {"context": "", "assumption_global": [], "subquestions": [], "error": error}
 
 
-def read_exercise(text: str | None, expected: int | None = None, check: bool = False) -> dict:
+def read_exercise(text: str | None, expected: int | None = None, check: bool = False, answers: bool = False) -> dict:
     """A text's row; ``check``: repaired and validated too.  What fails has its first fault as ``error``."""
     data, wrong = first_mapping(text or "")
     if data is None:
@@ -218,13 +222,13 @@ def read_exercise(text: str | None, expected: int | None = None, check: bool = F
         wrong = next(exercise_faults(data, expected), None)
         if wrong:
             return _empty(wrong)
-    return exercise_row(data)
+    return exercise_row(data, answers)
 
 
-def parsed(texts: DataFrame, text: str = "text", expected: str | None = None, check: bool = False) -> DataFrame:
+def parsed(texts: DataFrame, text: str = "text", expected: str | None = None, check: bool = False, answers: bool = False) -> DataFrame:
     """texts with the columns of EXERCISE in place of the text column."""
     def one(texts: pd.Series, expected: pd.Series) -> pd.DataFrame:
-        rows = [read_exercise(t, None if pd.isna(n) else int(n), check) for t, n in zip(texts, expected, strict=True)]
+        rows = [read_exercise(t, None if pd.isna(n) else int(n), check, answers) for t, n in zip(texts, expected, strict=True)]
         return pd.DataFrame(rows, columns=["context", "assumption_global", "subquestions", "error"])
 
     read = F.pandas_udf(one, EXERCISE)
