@@ -15,28 +15,45 @@ from pyspark.sql import functions as F
 BLANK = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
+#: The same characters, one by one.
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 class Rewrite:
     """Ordered (expression, replacement) pairs; replacements refer to groups as $1."""
 
     def __init__(self, *steps: tuple[str, str]):
         self.steps = steps
+        self.compiled = [(re.compile(p), re.sub(r"\$(\d)", r"\\\1", into)) for p, into in steps]
 
     def column(self, c: Column) -> Column:
         for pattern, into in self.steps:
-            c = F.regexp_replace(c, pattern, into)
+            c = _step(c, pattern, into)
         return c
 
     def text(self, s: str) -> str:
-        for pattern, into in self.steps:
-            s = re.sub(pattern, re.sub(r"\$(\d)", r"\\\1", into), s)
+        for pattern, into in self.compiled:
+            s = pattern.sub(into, s)
         return s
 
     def then(self, *others: Rewrite) -> Rewrite:
         return Rewrite(*self.steps, *(step for other in others for step in other.steps))
 
 
-STRIP = Rewrite((rf"^{BLANK}+|{BLANK}+$", ""))
-COLLAPSE = Rewrite((rf"{BLANK}+", " ")).then(STRIP)
+_ENDS, _RUNS = (rf"^{BLANK}+|{BLANK}+$", ""), (rf"{BLANK}+", " ")
+
+
+def _step(c: Column, pattern: str, into: str) -> Column:
+    """A step as a column; the two about white space don't need the regular expression's large class."""
+    if (pattern, into) == _ENDS:
+        return F.btrim(c, F.lit(BLANKS))
+    if (pattern, into) == _RUNS:
+        return F.regexp_replace(F.translate(c, BLANKS, " " * len(BLANKS)), " {2,}", " ")
+    return F.regexp_replace(c, pattern, into)
+
+
+STRIP = Rewrite(_ENDS)
+COLLAPSE = Rewrite(_RUNS).then(STRIP)
 
 
 def strip(c: Column) -> Column:

@@ -11,7 +11,7 @@ from string import Template
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from stepgauge.functions.rewrite import BLANK, Rewrite, STRIP, collapsed, folded, strip
+from stepgauge.functions.rewrite import BLANK, BLANKS, Rewrite, STRIP, collapsed, folded, strip
 
 # The tags of annotated LaTeX.
 TAG = r"%@(?:CONTEXT|ASSUMPTION_GLOBAL|ASSUMPTION(?:_END)?|QUESTION(?:_END)?|ATOM(?:_END)?|PRECOND(?:_END)?|ARGUMENT(?:_END|:CALCUL)?|OUTCOME(?:_END)?|STRENGTH|LIST_START|LIST_END|SET_START|SET_END)\b"
@@ -199,7 +199,7 @@ def content_tokens(c: Column) -> Column:
 
 def bare_formula(c: Column) -> Column:
     """A formula without dollar signs, spacing commands and white space, in lower case."""
-    return F.lower(F.regexp_replace(F.regexp_replace(F.replace(c, F.lit("$"), F.lit("")), r"\\(?:!|,|;|:|quad|qquad)", ""), rf"{BLANK}+", ""))
+    return F.lower(F.translate(F.regexp_replace(F.replace(c, F.lit("$"), F.lit("")), r"\\(?:!|,|;|:|quad|qquad)", ""), BLANKS, ""))
 
 
 FORMULAS = (r"(?s)\$\$(.+?)\$\$", r"(?s)(?<!\$)\$(?!\$)(.+?)(?<!\$)\$(?!\$)", r"(?s)\\\[(.+?)\\\]", r"(?s)\\\((.+?)\\\)")

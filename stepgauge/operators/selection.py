@@ -18,16 +18,20 @@ def _share(items: Column, blob: Column) -> Column:
 def formula_fidelity(source: Column, statements: Column) -> Column:
     """F1 of candidate formulas found in the source and source formulas found in the candidate; 1 if neither has any."""
     bare = lambda c: F.filter(F.transform(c, bare_formula), lambda x: x != "")
-    wanted, offered = bare(source_formulas(source)), bare(formula_like(statements))
-    score = f1(_share(offered, bare_formula(source)), _share(wanted, F.array_join(offered, "")))
-    return F.when((F.size(wanted) == 0) & (F.size(offered) == 0), 1.0).when((F.size(wanted) == 0) | (F.size(offered) == 0), 0.0).otherwise(score)
+    def of(parts: Column) -> Column:
+        wanted, offered = parts["wanted"], parts["offered"]
+        score = f1(_share(offered, bare_formula(source)), _share(wanted, F.array_join(offered, "")))
+        return F.when((F.size(wanted) == 0) & (F.size(offered) == 0), 1.0).when((F.size(wanted) == 0) | (F.size(offered) == 0), 0.0).otherwise(score)
 
+    parts = F.struct(bare(source_formulas(source)).alias("wanted"), bare(formula_like(statements)).alias("offered"))
+    return F.get(F.transform(F.array(parts), of), 0)
 
-def token_overlap(source: Column, statements: Column) -> tuple[Column, Column]:
-    """(share of the source's content words that the candidate has, share of the candidate's that the source has)."""
-    wanted, offered = content_tokens(source), content_tokens(F.array_join(statements, "\n"))
-    both = F.size(F.array_intersect(wanted, offered))
-    return ratio(both, F.size(wanted), 1.0), ratio(both, F.size(offered))
+
+def token_overlap(rows: DataFrame, source: str, statements: str) -> DataFrame:
+    """rows with source_coverage (share of the source's content words that the candidate has) and non_hallucination (the reverse)."""
+    rows = rows.withColumns({"__wanted": content_tokens(F.col(source)), "__offered": content_tokens(F.array_join(statements, "\n"))})
+    rows = rows.withColumn("__both", F.size(F.array_intersect("__wanted", "__offered")))
+    return rows.withColumns({"source_coverage": ratio(F.col("__both"), F.size("__wanted"), 1.0), "non_hallucination": ratio(F.col("__both"), F.size("__offered"))}).drop("__wanted", "__offered", "__both")
 
 
 def completeness(atoms: Column) -> Column:
@@ -47,11 +51,16 @@ def statements_of(atoms: Column) -> Column:
     return F.flatten(F.transform(atoms, lambda a: F.concat(a["preconditions"], a["arguments"], a["outcomes"])))
 
 
-def components(source: Column, atoms: Column) -> dict[str, Column]:
-    """The five measures of a candidate against its source."""
-    said = statements_of(atoms)
-    covered, grounded = token_overlap(source, said)
-    return {"formula_fidelity": formula_fidelity(source, said), "source_coverage": covered, "non_hallucination": grounded, "atom_completeness": completeness(atoms), "non_duplication": non_duplication(atoms)}
+def components(rows: DataFrame, source: str, atoms: str) -> DataFrame:
+    """rows with the five measures of a candidate (atoms) against its source; words and texts are taken apart once."""
+    rows = rows.withColumn("__said", statements_of(F.col(atoms)))
+    rows = rows.withColumns({"__wanted": content_tokens(F.col(source)), "__offered": content_tokens(F.array_join("__said", "\n"))})
+    both = F.size(F.array_intersect("__wanted", "__offered"))
+    rows = rows.withColumns({
+        "formula_fidelity": formula_fidelity(F.col(source), F.col("__said")), "__both": both, "atom_completeness": completeness(F.col(atoms)), "non_duplication": non_duplication(F.col(atoms)),
+    })
+    rows = rows.withColumns({"source_coverage": ratio(F.col("__both"), F.size("__wanted"), 1.0), "non_hallucination": ratio(F.col("__both"), F.size("__offered"))})
+    return rows.drop("__said", "__wanted", "__offered", "__both")
 
 
 def weighted(parts: dict[str, Column], weights: dict[str, float] | None = None) -> Column:

@@ -496,9 +496,8 @@ _OVERLAP = "CASE WHEN len(s) = 0 THEN 1.0 ELSE len(list_intersect(s, c)) / len(s
 
 @query(f"WITH {_AGAINST}, o AS (SELECT doc_id, {_OVERLAP} FROM a) SELECT doc_id, round(source_coverage, 6) AS source_coverage, round(non_hallucination, 6) AS non_hallucination FROM o")
 def token_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = against_source(spark, sf_dir)
-    shared, grounded = selection.token_overlap(F.col("source_text"), F.col("l"))
-    return rows.select("doc_id", rounded(shared).alias("source_coverage"), rounded(grounded).alias("non_hallucination"))
+    rows = selection.token_overlap(against_source(spark, sf_dir), "source_text", "l")
+    return rows.select("doc_id", rounded(F.col("source_coverage")).alias("source_coverage"), rounded(F.col("non_hallucination")).alias("non_hallucination"))
 
 
 _SCORED = rf"""{_AGAINST}, o AS (SELECT doc_id, lang, source, {_OVERLAP}, CASE WHEN list_contains([contains(text, '='), contains(text, '\'), regexp_matches(text, '[∫∑√≤≥→∞]')], true) THEN 0.0 ELSE 1.0 END AS formula_fidelity, CASE WHEN contains(text, chr(10)) THEN 1.0 ELSE 0.5 END AS atom_completeness FROM a),
@@ -506,7 +505,7 @@ z AS (SELECT doc_id, lang, source, round(0.3 * formula_fidelity + 0.3 * source_c
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = against_source(spark, sf_dir).withColumns(selection.components(F.col("source_text"), F.col("atoms")))
+    rows = selection.components(against_source(spark, sf_dir), "source_text", "atoms")
     return rows.select("doc_id", "lang", "source", rounded(selection.weighted({p: F.col(p) for p in config.RANKING_WEIGHTS})).alias("score"))
 
 

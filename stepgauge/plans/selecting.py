@@ -23,10 +23,10 @@ def scored(responses: DataFrame, candidates: DataFrame, weights: dict[str, float
     """
     answers = responses.select(*RESPONSE, F.col("text").alias("source"), expected_blocks(F.col("text")).alias("expected"))
     both = candidates.join(answers, RESPONSE)
-    read = trees.parsed(both.withColumn("text", F.col("text")), "text", "expected", check=True)
+    read = trees.parsed(both, "text", "expected", check=True)
     atoms = F.flatten(F.transform("subquestions", lambda s: s["atoms"]))
     valid = F.col("error").isNull()
-    out = read.withColumns({"atoms": atoms, "valid": valid}).withColumns(selection.components(F.col("source"), F.col("atoms")))
+    out = selection.components(read.withColumns({"atoms": atoms, "valid": valid}), "source", "atoms")
     out = out.withColumn("score", selection.weighted({p: F.col(p) for p in PARTS}, weights)).withColumn("atom_count", F.size("atoms"))
     zero = lambda c, kind: F.when(F.col("valid"), F.col(c)).otherwise(F.lit(0).cast(kind))
     return out.select(*RESPONSE, "call2_model", "path", "valid", F.coalesce("error", F.lit("")).alias("error"), zero("score", "double").alias("score"), zero("atom_count", "int").alias("atom_count"), *[zero(p, "double").alias(p) for p in PARTS])

@@ -8,11 +8,19 @@ the place of the child that leads to the atom, from 1.
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 STEP = "struct<kind:string,child:int>"
 ATOM = f"struct<atom_index:int,steps:array<{STEP}>,preconditions:array<string>,arguments:array<string>,outcomes:array<string>,strength:double>"
 SUBQUESTION = f"struct<question:string,assumptions:array<string>,answer:string,atoms:array<{ATOM}>>"
 EXERCISE = f"struct<context:string,assumption_global:array<string>,subquestions:array<{SUBQUESTION}>,error:string>"
 
+_TEXTS = pa.list_(pa.string())
+_ATOM = pa.struct([("atom_index", pa.int32()), ("steps", pa.list_(pa.struct([("kind", pa.string()), ("child", pa.int32())]))), ("preconditions", _TEXTS), ("arguments", _TEXTS), ("outcomes", _TEXTS), ("strength", pa.float64())])
+_SUBQUESTION = pa.struct([("question", pa.string()), ("assumptions", _TEXTS), ("answer", pa.string()), ("atoms", pa.list_(_ATOM))])
+#: EXERCISE as the parsers hand it to Spark.
+ARROW_EXERCISE = pa.struct([("context", pa.string()), ("assumption_global", _TEXTS), ("subquestions", pa.list_(_SUBQUESTION)), ("error", pa.string())])
+
 #: What names a case: one generated answer to one exercise.
 CASE = ["call1_model", "language", "variation", "exercise", "strategy"]
 #: What names the generated answer that conversions compete for.

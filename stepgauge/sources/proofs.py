@@ -11,12 +11,12 @@ import re
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepgauge.functions import text as T
-from stepgauge.schemas import EXERCISE
+from stepgauge.schemas import ARROW_EXERCISE, EXERCISE
 from stepgauge.sources.trees import _empty, dumped, exercise_row
 
 
@@ -74,7 +74,7 @@ class _Atom:
 
     def read(self, line: str, number: int) -> bool:
         """Take in a line; true at the atom's end."""
-        tag = next((t for t in _ORDER if _TAGS[t].search(line)), None)
+        tag = next((t for t in _ORDER if _TAGS[t].search(line)), None) if "%@" in line else None
         if tag is None:
             text = _content(line)
             if self.tag and text:
@@ -121,7 +121,10 @@ def proof(solution: str) -> Any:
 
     for number, raw in enumerate(solution.split("\n"), 1):
         line = raw.strip()
-        if atom and _TAGS["ATOM_END"].search(line):
+        if "%@" not in line:
+            if atom:
+                atom.read(line, number)
+        elif atom and _TAGS["ATOM_END"].search(line):
             atom.read(line, number)
             end_atom()
         elif mark := _structure(line):
@@ -198,17 +201,16 @@ def _safe(latex: str | None) -> dict | str:
 
 def parsed(texts: DataFrame, text: str = "text") -> DataFrame:
     """texts with the columns of EXERCISE in place of the annotated LaTeX; ``error`` tells what is wrong with it."""
-    def one(latex: pd.Series) -> pd.DataFrame:
-        rows = [_empty(x) if isinstance(x := _safe(t), str) else exercise_row(x) for t in latex]
-        return pd.DataFrame(rows, columns=["context", "assumption_global", "subquestions", "error"])
+    def one(latex: pa.Array) -> pa.Array:
+        return pa.array([_empty(x) if isinstance(x := _safe(t.as_py()), str) else exercise_row(x) for t in latex], ARROW_EXERCISE)
 
     rest = [c for c in texts.columns if c != text]
-    return texts.select(*rest, F.pandas_udf(one, EXERCISE)(F.col(text)).alias("__e")).select(*rest, "__e.*")
+    return texts.select(*rest, F.arrow_udf(one, EXERCISE)(F.col(text)).alias("__e")).select(*rest, "__e.*")
 
 
 def as_yaml(text: str = "text"):
     """A column with the YAML of annotated LaTeX; a text with mistakes raises them."""
-    def one(latex: pd.Series) -> pd.Series:
-        return pd.Series([dumped(parse_exercise(t or "")) for t in latex])
+    def one(latex: pa.Array) -> pa.Array:
+        return pa.array([dumped(parse_exercise(t.as_py() or "")) for t in latex], pa.string())
 
-    return F.pandas_udf(one, "string")(F.col(text))
+    return F.arrow_udf(one, "string")(F.col(text))

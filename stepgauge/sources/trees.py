@@ -10,13 +10,13 @@ import json
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 import yaml
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stepgauge.functions.text import fenced, repaired_yaml
-from stepgauge.schemas import ATOM_FIELDS, EXERCISE
+from stepgauge.schemas import ARROW_EXERCISE, ATOM_FIELDS, EXERCISE
 
 
 class _Loader(yaml.SafeLoader):
@@ -227,13 +227,13 @@ def read_exercise(text: str | None, expected: int | None = None, check: bool = F
 
 def parsed(texts: DataFrame, text: str = "text", expected: str | None = None, check: bool = False, answers: bool = False) -> DataFrame:
     """texts with the columns of EXERCISE in place of the text column."""
-    def one(texts: pd.Series, expected: pd.Series) -> pd.DataFrame:
-        rows = [read_exercise(t, None if pd.isna(n) else int(n), check, answers) for t, n in zip(texts, expected, strict=True)]
-        return pd.DataFrame(rows, columns=["context", "assumption_global", "subquestions", "error"])
+    def one(texts: pa.Array, expected: pa.Array) -> pa.Array:
+        rows = [read_exercise(t.as_py(), n.as_py(), check, answers) for t, n in zip(texts, expected, strict=True)]
+        return pa.array(rows, ARROW_EXERCISE)
 
-    read = F.pandas_udf(one, EXERCISE)
+    read = F.arrow_udf(one, EXERCISE)
     rest = [c for c in texts.columns if c not in (text, "context", "assumption_global", "subquestions", "error")]
-    return texts.select(*rest, read(F.col(text), F.col(expected).cast("double") if expected else F.lit(None).cast("double")).alias("__e")).select(*rest, "__e.*")
+    return texts.select(*rest, read(F.col(text), F.col(expected).cast("long") if expected else F.lit(None).cast("long")).alias("__e")).select(*rest, "__e.*")
 
 
 def response_yaml(response: str = "text"):
