@@ -11,10 +11,14 @@ of the weighted Jaccard similarity.  Only darts below a rank of about
 filled throws on with twice that.
 
 Signatures are cut into bands.  Of each band's bucket the most central text and
-a seeded other one are its pivots; all others are compared with these, so pairs
-grow with the bucket and not with its square.  Signatures decide clear pairs;
-the rest that would still join two components are compared exactly on both
-texts.  Components of these links are the classes.
+a seeded other one are its pivots, with which all others are compared first.
+Signatures decide clear pairs; the rest that would still join two components
+are compared exactly on both texts.  Where the other texts of a bucket are then
+still of several components, the pairs across these are made too: all of them
+in small buckets; in larger ones those that can agree in ``HOPELESS`` or more of
+the coordinates.  Such a pair shares one of the coordinates that are left when
+as many as may differ, rarest first, are looked at, so a passage that many texts
+share makes no pairs by itself.  Components of all links are the classes.
 
 Cases: null, empty and wordless texts are near only to texts that are equal to
 them; repeated rows share a class; equal word sequences always do; a class is
@@ -25,6 +29,7 @@ looked at and stay where rows are returned.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +43,8 @@ from stepgauge.llm.wordscan import Words, mix, scanned, utf8
 SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 5, 0.8, 25, 5, 17
 #: Signature agreement (of BANDS * ROWS coordinates) from which a pair is linked, or below which it is dropped, unseen.
 SURE, HOPELESS = 0.92, 0.62
+#: Texts of a bucket, without its pivots, up to which all pairs across components are made.
+FEW = 8
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -176,8 +183,8 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
             return labels
 
 
-def candidates(scratch: Scratch, known: DataFrame) -> DataFrame:
-    """a, b: each text of a bucket with the bucket's two pivots; known: content, sig."""
+def candidates(scratch: Scratch, known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a, b: each text of a bucket with the bucket's two pivots; bucket, content: the texts that are no pivots; known: content, sig."""
     cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * 4 * ROWS + 1, F.lit(4 * ROWS)))))
     bands = known.where("sig is not null").select("content", cut.alias("bucket"))
     full = scratch.keep(bands.groupBy("bucket").count().where("count > 1"))
@@ -187,19 +194,53 @@ def candidates(scratch: Scratch, known: DataFrame) -> DataFrame:
     other = F.min(F.struct(F.xxhash64("bucket", "content").alias("h"), F.col("content"))).getField("content")
     pivots = scratch.keep(shared.join(degree, "content").groupBy("bucket").agg(F.array_distinct(F.array(centre, other)).alias("pivots")))
     pairs = shared.join(pivots, "bucket").select("content", F.explode("pivots").alias("pivot")).where("content != pivot")
-    return pairs.select(F.least("content", "pivot").alias("a"), F.greatest("content", "pivot").alias("b")).distinct()
+    rest = shared.where("count > 2").join(pivots, "bucket").where("not array_contains(pivots, content)").select("bucket", "content")
+    return pairs.select(F.least("content", "pivot").alias("a"), F.greatest("content", "pivot").alias("b")).distinct(), rest
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, version, label, class_id, class_rows for every row; classes join near texts (similarity of 0.8 or more)."""
-    spark, k = docs.sparkSession, BANDS * ROWS
-    scratch = Scratch(spark, "dartdedup")
-    rows = scratch.keep(describe(docs))
-    known = scratch.keep(rows.groupBy("content").agg(F.first("sig").alias("sig"), F.min(F.struct("doc_id", "version")).alias("first")))
-    pairs = scratch.keep(candidates(scratch, known))
+def across(left: DataFrame, right: DataFrame, key: str, once) -> DataFrame:
+    """a, b: the pairs of texts of different labels with the same key."""
+    one, two = (d.select(key, F.col("content").alias(c), F.col("label").alias(f"label_{c}"), *[x for x in d.columns if x == "most"]) for d, c in ((left, "x"), (right.drop("most"), "y")))
+    pairs = one.join(two, key).where("label_x != label_y").where(once)
+    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def further(scratch: Scratch, known: DataFrame, rest: DataFrame, links: DataFrame) -> DataFrame:
+    """a, b: the pairs of a bucket that neither pivots nor links have settled, but for those that agree in less than HOPELESS."""
+    labels = components(scratch, links)
+    own = scratch.keep(rest.join(labels, F.col("content") == F.col("node"), "left").select("bucket", "content", F.coalesce("label", "content").alias("label")))
+    split = scratch.keep(own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n"))
+    own = scratch.keep(own.join(split, "bucket"))
+    small = own.where(F.col("n") <= FEW).select("bucket", "content", "label")
+    pairs = across(small, small, "bucket", F.col("x") < F.col("y"))
+    many = scratch.keep(own.where(F.col("n") > FEW).select("content", "label").distinct())
+    if not many.limit(1).count():
+        return pairs
+    k = BANDS * ROWS
+    least = math.ceil(HOPELESS * k)
+    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * 4 + 1, F.lit(4)))))
+    tokens = scratch.keep(many.join(known.select("content", "sig"), "content").select("content", "label", cut.alias("token")))
+    common = scratch.keep(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("token", "n"))
+    # coordinates of one component alone come first in the order and make no pairs; of the others a text needs ``least``,
+    # and a pair that agrees in so many agrees in one of those before the last ``least - 1``
+    held = scratch.keep(tokens.join(common, "token"))
+    ordered = held.groupBy("content", "label").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all")).where(F.size("all") >= least)
+    first = scratch.keep(ordered.select("content", "label", F.explode(F.expr(f"slice(all, 1, size(all) - {least - 1})")).alias("at")).select("content", "label", F.col("at.token").alias("token")))
+    sizes = first.groupBy("token", "label").count().groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("count", "label")).getField("label").alias("most")).where("labels > 1")
+    first = scratch.keep(first.join(scratch.keep(sizes.select("token", "most")), "token"))
+    # the largest component of a coordinate only meets the others, so what is settled makes no work
+    wide = across(first.where("label != most"), first, "token", (F.col("label_y") == F.col("most")) | (F.col("x") < F.col("y")))
+    return pairs.union(wide).distinct()
+
+
+def linked(scratch: Scratch, docs: DataFrame, known: DataFrame, pairs: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """a, b: links, and those of the pairs that are near; pairs within a component are not compared exactly."""
+    k = BANDS * ROWS
     left, right = known.select(F.col("content").alias("a"), F.col("sig").alias("sig_a")), known.select(F.col("content").alias("b"), F.col("sig").alias("sig_b"))
     judged = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", agreement(F.col("sig_a"), F.col("sig_b"), k).alias("agree")).where(F.col("agree") >= HOPELESS))
-    labels = components(scratch, judged.where(F.col("agree") >= SURE))
+    sure = judged.where(F.col("agree") >= SURE).select("a", "b")
+    sure = sure if links is None else links.union(sure)
+    labels = components(scratch, sure)
     open_pairs = judged.where(F.col("agree") < SURE)
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     open_pairs = open_pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"label_{c}": F.coalesce(f"label_{c}", c) for c in "ab"}).where("label_a != label_b")
@@ -211,7 +252,21 @@ def classes(docs: DataFrame) -> DataFrame:
     texts = scratch.keep(full.join(ends, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version"))).select("content", "text").dropDuplicates(["content"]))
     both = open_pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
     near = both.mapInArrow(compared, "a binary, b binary")
-    links = scratch.keep(near.union(judged.where(F.col("agree") >= SURE).select("a", "b")))
+    return scratch.keep(near.union(sure))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, version, label, class_id, class_rows for every row; classes join near texts (similarity of 0.8 or more)."""
+    scratch = Scratch(docs.sparkSession, "dartdedup")
+    rows = scratch.keep(describe(docs))
+    known = scratch.keep(rows.groupBy("content").agg(F.first("sig").alias("sig"), F.min(F.struct("doc_id", "version")).alias("first")))
+    pairs, rest = (scratch.keep(x) for x in candidates(scratch, known))
+    links = linked(scratch, docs, known, pairs)
+    scratch.drop(rows, known, rest, links)
+    pairs = scratch.keep(further(scratch, known, rest, links))
+    if pairs.limit(1).count():
+        links = linked(scratch, docs, known, pairs, links)
+    scratch.drop(rows, known, links)
     labels = components(scratch, links)
     named = scratch.keep(known.select("content", "first").join(labels, F.col("content") == F.col("node"), "left").select("content", F.coalesce("label", "content").alias("label"), "first"))
     sizes = scratch.keep(rows.groupBy("content").count())

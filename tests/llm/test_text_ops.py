@@ -270,6 +270,40 @@ def test_near_dedup_odd_cases(spark):
     assert sorted(str(r.text) for r in dartdedup.keep_one(nulls).collect()) == ["a b", "c"]
 
 
+def test_near_dedup_of_texts_with_a_shared_passage(spark):
+    """Pairs that are near (0.8 to 0.85), all around one passage that makes most of their buckets large."""
+    rng, texts = random.Random(3), []
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = new(300)
+    for _ in range(200):
+        own = new(70)
+        copy = list(own)
+        for at in rng.sample(range(70), 7):
+            copy[at] = new(1)[0]
+        texts += [" ".join(passage + own), " ".join(passage + copy)]
+    got = {r.doc_id: r for r in dartdedup.classes(frame(spark, texts)).collect()}
+    near = [dartdedup.similarity(texts[i], texts[i + 1]) >= 0.8 for i in range(0, 400, 2)]
+    assert sum(near) > 150
+    assert [got[i].class_id == got[i + 1].class_id for i in range(0, 400, 2)] == near
+    assert all(r.class_rows <= 2 for r in got.values())
+
+
+def test_near_dedup_makes_the_pairs_that_pivots_leave(spark, monkeypatch):
+    """One band of one coordinate, so no other bucket makes up for what the pivots do not meet."""
+    monkeypatch.setattr(dartdedup, "BANDS", 1)
+    monkeypatch.setattr(dartdedup, "ROWS", 1)
+    scratch = dartdedup.Scratch(spark, "test")
+    sig = np.array([7], np.uint32).tobytes()
+    known = scratch.keep(spark.createDataFrame([(bytes([i]), bytearray(sig)) for i in range(12)], "content binary, sig binary"))
+    pairs, rest = (scratch.keep(x) for x in dartdedup.candidates(scratch, known))
+    links = scratch.keep(pairs.limit(0))
+    for few in (0, 100):
+        monkeypatch.setattr(dartdedup, "FEW", few)
+        more = dartdedup.further(scratch, known, rest, links)
+        made = {(bytes(r.a), bytes(r.b)) for r in pairs.union(more).collect()}
+        assert len(made) == 12 * 11 // 2
+
+
 def test_dart_signatures_estimate_weighted_jaccard():
     rng = np.random.default_rng(2)
     element = np.arange(400, dtype=np.uint64)
