@@ -10,7 +10,9 @@ of the weighted Jaccard similarity.  Only darts below a rank of about
 ``k (ln k + 2) / weight`` are thrown; a text whose coordinates are not all
 filled throws on with twice that.
 
-Signatures are cut into bands.  Of each band's bucket the most central text and
+Near is what the larger of weighted and plain Jaccard similarity says, so texts
+that repeat a shingle have a second signature with all weights 1; that of a text
+without repeats serves as both.  Signatures are cut into bands.  Of each band's bucket the most central text and
 a seeded other one are its pivots, with which all others are compared first.
 Signatures decide clear pairs; the rest that would still join two components
 are compared exactly on both texts.  Where the other texts of a bucket are then
@@ -112,12 +114,21 @@ def signatures(doc: np.ndarray, element: np.ndarray, weight: np.ndarray, n_docs:
 
 
 def described(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, version, content, sig: the worker's side of ``describe``."""
+    """doc_id, text -> doc_id, version, content, sig, plain: the worker's side of ``describe``."""
     for batch in batches:
         texts = batch.column("text")
         for lo, hi, w in scanned(texts):
             doc, element, count = shingles(w)
             sig = signatures(doc, element, count.astype(np.float64), hi - lo, k)
+            # only texts that repeat a shingle have a plain signature of their own
+            repeats = np.zeros(hi - lo, bool)
+            repeats[doc[count > 1]] = True
+            chosen = np.flatnonzero(repeats)
+            mine = repeats[doc]
+            flat = signatures(np.searchsorted(chosen, doc[mine]), element[mine], np.ones(int(mine.sum())), chosen.size, k)
+            plain = [None] * (hi - lo)
+            for at, i in enumerate(chosen):
+                plain[i] = flat[at].tobytes()
             content, raw = [], None
             for i in range(hi - lo):
                 if w.n[i]:
@@ -127,16 +138,16 @@ def described(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
                     content.append(hashlib.blake2b((raw[i] or "").encode(), digest_size=16, person=b"wordless").digest())
             rows = [sig[i].tobytes() if w.n[i] else None for i in range(hi - lo)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(lo, hi - lo), batch.column("version").slice(lo, hi - lo), pa.array(content, pa.binary()), pa.array(rows, pa.binary())],
-                ["doc_id", "version", "content", "sig"],
+                [batch.column("doc_id").slice(lo, hi - lo), batch.column("version").slice(lo, hi - lo), pa.array(content, pa.binary()), pa.array(rows, pa.binary()), pa.array(plain, pa.binary())],
+                ["doc_id", "version", "content", "sig", "plain"],
             )
 
 
 def describe(docs: DataFrame, k: int = BANDS * ROWS) -> DataFrame:
-    """doc_id, version (of the text), content (16 bytes, of the words), sig (4 k bytes, null without words)."""
+    """doc_id, version (of the text), content (16 bytes, of the words), sig (4 k bytes, null without words), plain (of weights 1, null if it is sig)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-    return rows.mapInArrow(lambda it: described(it, k), f"doc_id {kind}, version long, content binary, sig binary")
+    return rows.mapInArrow(lambda it: described(it, k), f"doc_id {kind}, version long, content binary, sig binary, plain binary")
 
 
 def agreement(a, b, k: int):
@@ -184,9 +195,10 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
 
 
 def candidates(scratch: Scratch, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """a, b: each text of a bucket with the bucket's two pivots; bucket, content: the texts that are no pivots; known: content, sig."""
-    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * 4 * ROWS + 1, F.lit(4 * ROWS)))))
-    bands = known.where("sig is not null").select("content", cut.alias("bucket"))
+    """a, b: each text of a bucket with the bucket's two pivots; bucket, content: the texts that are no pivots; known: content, sig, plain."""
+    cut = lambda c: F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.col(c).substr(i * 4 * ROWS + 1, F.lit(4 * ROWS))))
+    both = F.when(F.col("plain").isNull(), cut("sig")).otherwise(F.array_distinct(F.concat(cut("sig"), cut("plain"))))
+    bands = known.where("sig is not null").select("content", F.explode(both).alias("bucket"))
     full = scratch.keep(bands.groupBy("bucket").count().where("count > 1"))
     shared = scratch.keep(bands.join(full, "bucket"))
     degree = scratch.keep(shared.groupBy("content").agg(F.sum("count").alias("degree")))
@@ -219,13 +231,14 @@ def further(scratch: Scratch, known: DataFrame, rest: DataFrame, links: DataFram
     k = BANDS * ROWS
     least = math.ceil(HOPELESS * k)
     cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * 4 + 1, F.lit(4)))))
-    tokens = scratch.keep(many.join(known.select("content", "sig"), "content").select("content", "label", cut.alias("token")))
+    each = known.select("content", F.posexplode(F.array_compact(F.array("sig", "plain"))).alias("kind", "sig"))
+    tokens = scratch.keep(many.join(each, "content").select("content", "kind", "label", cut.alias("token")))
     common = scratch.keep(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("token", "n"))
     # coordinates of one component alone come first in the order and make no pairs; of the others a text needs ``least``,
     # and a pair that agrees in so many agrees in one of those before the last ``least - 1``
     held = scratch.keep(tokens.join(common, "token"))
-    ordered = held.groupBy("content", "label").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all")).where(F.size("all") >= least)
-    first = scratch.keep(ordered.select("content", "label", F.explode(F.expr(f"slice(all, 1, size(all) - {least - 1})")).alias("at")).select("content", "label", F.col("at.token").alias("token")))
+    ordered = held.groupBy("content", "kind", "label").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all")).where(F.size("all") >= least)
+    first = scratch.keep(ordered.select("content", "label", F.explode(F.expr(f"slice(all, 1, size(all) - {least - 1})")).alias("at")).select("content", "label", F.col("at.token").alias("token")).distinct())
     sizes = first.groupBy("token", "label").count().groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("count", "label")).getField("label").alias("most")).where("labels > 1")
     first = scratch.keep(first.join(scratch.keep(sizes.select("token", "most")), "token"))
     # the largest component of a coordinate only meets the others, so what is settled makes no work
@@ -236,8 +249,11 @@ def further(scratch: Scratch, known: DataFrame, rest: DataFrame, links: DataFram
 def linked(scratch: Scratch, docs: DataFrame, known: DataFrame, pairs: DataFrame, links: DataFrame | None = None) -> DataFrame:
     """a, b: links, and those of the pairs that are near; pairs within a component are not compared exactly."""
     k = BANDS * ROWS
-    left, right = known.select(F.col("content").alias("a"), F.col("sig").alias("sig_a")), known.select(F.col("content").alias("b"), F.col("sig").alias("sig_b"))
-    judged = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", agreement(F.col("sig_a"), F.col("sig_b"), k).alias("agree")).where(F.col("agree") >= HOPELESS))
+    left, right = (known.select(F.col("content").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("plain").alias(f"plain_{c}")) for c in "ab")
+    agree = agreement(F.col("sig_a"), F.col("sig_b"), k)
+    plain = agreement(F.coalesce("plain_a", "sig_a"), F.coalesce("plain_b", "sig_b"), k)
+    agree = F.when(F.col("plain_a").isNull() & F.col("plain_b").isNull(), agree).otherwise(F.greatest(agree, plain))
+    judged = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", agree.alias("agree")).where(F.col("agree") >= HOPELESS))
     sure = judged.where(F.col("agree") >= SURE).select("a", "b")
     sure = sure if links is None else links.union(sure)
     labels = components(scratch, sure)
@@ -259,7 +275,7 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, version, label, class_id, class_rows for every row; classes join near texts (similarity of 0.8 or more)."""
     scratch = Scratch(docs.sparkSession, "dartdedup")
     rows = scratch.keep(describe(docs))
-    known = scratch.keep(rows.groupBy("content").agg(F.first("sig").alias("sig"), F.min(F.struct("doc_id", "version")).alias("first")))
+    known = scratch.keep(rows.groupBy("content").agg(F.first("sig").alias("sig"), F.first("plain").alias("plain"), F.min(F.struct("doc_id", "version")).alias("first")))
     pairs, rest = (scratch.keep(x) for x in candidates(scratch, known))
     links = linked(scratch, docs, known, pairs)
     scratch.drop(rows, known, rest, links)

@@ -288,13 +288,21 @@ def test_near_dedup_of_texts_with_a_shared_passage(spark):
     assert all(r.class_rows <= 2 for r in got.values())
 
 
+def test_near_dedup_of_copies_that_repeat_a_passage(spark):
+    base = [f"w{i}" for i in range(300)]
+    again = base + base[:60] * 4
+    texts = [" ".join(base), " ".join(again), " ".join([*again[:200], "changed", *again[201:]]), " ".join(f"v{i % 50}" for i in range(300))]
+    got = {r.doc_id: r.class_id for r in dartdedup.classes(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts) == [0, 0, 0, 3]
+
+
 def test_near_dedup_makes_the_pairs_that_pivots_leave(spark, monkeypatch):
     """One band of one coordinate, so no other bucket makes up for what the pivots do not meet."""
     monkeypatch.setattr(dartdedup, "BANDS", 1)
     monkeypatch.setattr(dartdedup, "ROWS", 1)
     scratch = dartdedup.Scratch(spark, "test")
     sig = np.array([7], np.uint32).tobytes()
-    known = scratch.keep(spark.createDataFrame([(bytes([i]), bytearray(sig)) for i in range(12)], "content binary, sig binary"))
+    known = scratch.keep(spark.createDataFrame([(bytes([i]), bytearray(sig), None) for i in range(12)], "content binary, sig binary, plain binary"))
     pairs, rest = (scratch.keep(x) for x in dartdedup.candidates(scratch, known))
     links = scratch.keep(pairs.limit(0))
     for few in (0, 100):
