@@ -199,13 +199,18 @@ def blocks(benchmark: DataFrame) -> Iterator[Sent]:
 
 def suffix_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, spans (hit words, merged), items (sorted as strings), matches (longest, with places)."""
+    return versions_matched(docs, list(blocks(benchmark))).drop("version")
+
+
+def versions_matched(docs: DataFrame, tests: list[Sent]) -> DataFrame:
+    """``suffix_matches`` with version, the hash of the text, which tells rows of one id apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     parts = []
-    for tests in blocks(benchmark):
+    for block in tests:
         rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-        parts.append(rows.mapInArrow(lambda it, t=tests: searched(it, t.value, ["doc_id", "version"]), f"doc_id {kind}, version long, {SCHEMA}"))
+        parts.append(rows.mapInArrow(lambda it, t=block: searched(it, t.value, ["doc_id", "version"]), f"doc_id {kind}, version long, {SCHEMA}"))
     if len(parts) == 1:
-        return parts[0].drop("version")
+        return parts[0]
     found = parts[0].where("size(items) > 0")
     for part in parts[1:]:
         found = found.union(part.where("size(items) > 0"))
@@ -219,7 +224,7 @@ def suffix_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = found.select("d", "v", merged.alias("s"), F.array_sort(F.array_distinct("i")).alias("i"), F.array_sort(F.array_distinct("m")).alias("m"))
     own = parts[0].select("doc_id", "version", "n_words", "spans", "items", "matches")
     out = own.join(found, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("version") == F.col("v")), "left")
-    return out.select("doc_id", "n_words", F.coalesce("s", "spans").alias("spans"), F.coalesce("i", "items").alias("items"), F.coalesce("m", "matches").alias("matches"))
+    return out.select("doc_id", "version", "n_words", F.coalesce("s", "spans").alias("spans"), F.coalesce("i", "items").alias("items"), F.coalesce("m", "matches").alias("matches"))
 
 
 def remove_affected(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
@@ -236,5 +241,6 @@ def remove_affected(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_
                 yield from searched([both], known, ["__row"], min_items)
 
         return row.mapInArrow(kept, row.schema).select("__row.*")
-    found = suffix_matches(docs.withColumn("__version", F.xxhash64("text")), benchmark).where(F.size("items") >= min_items).select(F.col("doc_id").alias("__bad")).distinct()
-    return row.join(found, F.col("__row.doc_id").eqNullSafe(F.col("__bad")), "left_anti").select("__row.*")
+    found = versions_matched(docs, tests).where(F.size("items") >= min_items).select(F.col("doc_id").alias("__bad"), F.col("version").alias("__version")).distinct()
+    same = F.col("__row.doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64("__row.text") == F.col("__version"))
+    return row.join(found, same, "left_anti").select("__row.*")

@@ -96,6 +96,17 @@ def test_decontaminate_odd_cases_and_blocks(spark, monkeypatch, block):
     assert decontaminate.suffix_matches(docs.limit(0), bench).count() == 0
 
 
+@pytest.mark.parametrize("block", [10**7, 60])
+def test_decontaminate_judges_rows_of_one_id_by_their_texts(spark, monkeypatch, block):
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    items = [" ".join(f"{c}{i}" for i in range(12)) for c in "pqr"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    bad = " and ".join(items)
+    texts, ids = [bad, "clean one", "clean two", bad, "clean three", None, bad, bad, "clean four"], [1, 1, 2, None, None, None, 3, 3, 3]
+    kept = decontaminate.remove_affected(frame(spark, texts, ids), bench).collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter((i, t) for i, t in zip(ids, texts, strict=True) if t != bad)
+
+
 def test_shards_are_exact(spark, sf_dir):
     rows = queries.op2_shards(spark, sf_dir).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
