@@ -266,7 +266,7 @@ def folded(text: Column) -> Column:
 
 
 #: What any keyword of a rule or phrase holds; texts without are not looked at further.
-GATE = r"(?i)licen[sc]|\b[al]?gpl|cc[^a-z0-9]+by|\bcc0|creative\s+commons|public\s+domain|\bmit(?:[/-]| no )|\bbsd|0bsd|apache|unlicense|wtfpl|cddl|eupl|\basl|\bmpl|openrail|cecill|beerware|all\s+rights\s+reserved|proprietary|permission\s+(?:is\s+hereby|to\s+use)|redistribution|endorse\s+or\s+promote|gnu\.org|\.org/legal|opensource\.org|mozilla\.org|opendatacommons|scripts\.sil|boost\.org|creativecommons"
+GATE = r"(?i)licen[sc]|(?<![a-z])[al]?gpl|cc[^a-z0-9]+by|\bcc0|creative\s+commons|public\s+domain|\bmit(?:[ -]0|[/-]|\s+no\s)|bsd|apache|unlicense|wtfpl|cddl|eupl|\basl|\bmpl|openrail|cecill|beerware|all\s+rights\s+reserved|proprietary|permission\s+(?:is\s+hereby|to\s+use)|redistribution|endorse\s+or\s+promote|gnu\.org|\.org/legal|opensource\.org|mozilla\.org|opendatacommons|scripts\.sil|boost\.org|creativecommons"
 
 
 def base_places(words: Column) -> Column:

@@ -250,6 +250,45 @@ def brute_rules(text):
     return kept
 
 
+def example(rng, parsed):
+    """A text that a parsed expression matches but for what stands around it."""
+    out = ""
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out += chr(arg)
+        elif op == "IN":
+            chosen, value = rng.choice(arg)
+            out += chr(value) if str(chosen) == "LITERAL" else chr(rng.randint(*value)) if str(chosen) == "RANGE" else rng.choice(" \n\t")
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            least, most, inner = arg
+            out += "".join(example(rng, inner) for _ in range(rng.randint(least, min(int(most), least + 1))))
+        elif op == "SUBPATTERN":
+            out += example(rng, arg[-1])
+        elif op == "BRANCH":
+            out += example(rng, rng.choice(arg[1]))
+    return out
+
+
+def test_license_gate_passes_examples_of_every_rule():
+    rng = random.Random(4)
+    for _, label, _, rule in licenses.rules():
+        hits = 0
+        for _ in range(60):
+            text = rng.choice(["", "x", "_", "7", "by "]) + example(rng, re._parser.parse(rule))
+            if re.search(rule, text, re.ASCII):
+                hits += 1
+                assert re.search(licenses.GATE, text, re.ASCII), (label, text)
+        assert hits, (label, rule)
+
+
+def test_license_gate_in_the_query(spark):
+    texts = ["under MIT 0", "MIT\nNo\tAttribution", "see MIT  No Attribution", "the freebsd 2 clause", "under x_gplv2 only", "mitten 0"]
+    got = {r.doc_id: r for r in licenses.scanned(frame(spark, texts)).collect()}
+    check_licenses(texts, got)
+    assert [got[i].labels for i in range(3)] == ["mit-0"] * 3 and got[5].labels == ""
+
+
 def check_licenses(texts, got):
     for i, text in enumerate(texts):
         n, base = brute_base(text)
