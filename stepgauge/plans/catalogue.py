@@ -551,6 +551,16 @@ def formula_fidelity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", rounded(selection.formula_fidelity(F.col("source"), F.col("statements"))).alias("fidelity"))
 
 
+@query()
+def formula_fidelity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's lines against its own formulas and its benchmark item's; look-around has no counterpart in the oracle."""
+    fidelity = lambda source: rounded(selection.formula_fidelity(F.col(source), F.col("statements")))
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source_text"))
+    rows = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40).withColumn("statements", F.split(F.coalesce("text", F.lit("")), "\n"))
+    rows = rows.join(F.broadcast(items), "item_id", "left").withColumn("own", F.coalesce("text", F.lit(""))).withColumn("item", F.coalesce("source_text", F.lit("")))
+    return rows.select("doc_id", fidelity("own").alias("own_fidelity"), fidelity("item").alias("item_fidelity"))
+
+
 def conversation_atoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = F.expr("cast(array() as array<string>)")
     when = lambda role: F.when(F.col("role") == role, F.array("text")).otherwise(none)
