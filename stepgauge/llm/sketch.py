@@ -1,21 +1,28 @@
 """Invertible Bloom lookup sketches of paragraphs (DataFrame operations only).
 
-A text is the set of its paragraphs' 64-bit digests (lines that aren't blank).  A
-sketch has cells in three rows; each digest goes to one cell of each row, which
-holds the count, the exclusive-or of digests and that of their check hashes.
-The cells of two versions subtract; cells with one digest left are peeled until
-all are empty, which yields the digests that differ.  If peeling gets stuck, the
-digests are sketched again, larger and with fresh hashes, up to ``SIZES``; what
-collides even then is told apart digest by digest.  Long texts are sketched in
-groups of digests of about constant size, so the time is linear in the
-paragraphs but for a square root.
-
-The fingerprint is the first sketch's cells, as hexadecimal digits.  Likeness is
+A text is the set of its paragraphs' 63-bit digests (lines that aren't blank).
+Its sketch has blocks, each for a range of digests, as many (a power of two) as
+give a block ``LOAD`` digests at most on average; a block has cells in three rows.
+A digest goes to one cell of each row of its block; a cell holds the count, the
+exclusive-or of digests and that of their check hashes.  The fingerprint is the
+sketch, cell by cell, as hexadecimal digits.
+
+Two versions are compared by their sketches: the one with more blocks is folded
+to the other's size (neighbouring blocks add up), the cells subtract, and cells
+with one digest left are peeled until a block is empty, which yields the digests
+that differ.  A block in which peeling gets stuck is sketched again, larger: its
+range is cut in four, each with as many cells and with fresh hashes, and those of
+the four that get stuck are cut again, up to ``RETRIES`` times.  Likeness is
 shared / all digests of both versions, from the counts and the peeled digests.
+Work is linear in the paragraphs but for the binary search of the ranges.
 
 Cases: null is the empty text; texts without paragraphs are alike (1) and unlike
 all others (0); equal texts have equal fingerprints; a paragraph counts once
-however often it is repeated.
+however often it is repeated; digests that no retry tells apart (two that agree
+in over 40 bits) count as different.  doc_id must be a number, as documents are
+put in order by ranges of it; repeated ids are in the order of their texts'
+hashes, null ids come first; rows of one id lie in one range.  Other columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -25,12 +32,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Cells in each of the three rows of a group's sketch, at first and after failures.
-SIZES = (4, 16, 64)
-#: Digests of both versions in a group, on average.
-LOAD = 3
-#: Cells in each row of the fingerprint.
-PRINT_CELLS = 8
+#: Cells in each of a block's three rows, digests of a block on average at most, and how often a range is cut in four.
+CELLS, LOAD, RETRIES = 8, 64, 20
+BLOCK = 3 * CELLS
+BITS = 63
 
 
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -39,103 +44,147 @@ def let(value: Column, then: Callable[[Column], Column]) -> Column:
 
 
 def digests(text: Column) -> Column:
-    """The distinct digests of a text's paragraphs."""
+    """The distinct digests of a text's paragraphs, in order."""
     lines = F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), lambda x: F.trim(x) != "")
-    return F.array_distinct(F.transform(lines, lambda x: F.xxhash64(F.trim(x))))
+    return F.array_sort(F.array_distinct(F.transform(lines, lambda x: F.shiftrightunsigned(F.xxhash64(F.trim(x)), 64 - BITS))))
 
 
-def places(key: Column, cells: int, turn: int) -> Column:
-    """The three cells of a digest."""
-    h = F.xxhash64(F.lit(turn), key)
-    low = lambda shift: F.shiftright(h, shift).bitwiseAND(F.lit(cells - 1)).cast("int")
-    return F.array(low(0), low(16) + cells, low(32) + 2 * cells)
+def places(key: Column, turn: Column) -> Column:
+    """The three cells of a digest in its block."""
+    h = F.xxhash64(turn.cast("int"), key)
+    low = lambda shift: F.shiftright(h, shift).bitwiseAND(F.lit(CELLS - 1)).cast("int")
+    return F.array(low(0), low(16) + CELLS, low(32) + 2 * CELLS)
 
 
-def cell_table(keys: Column, cells: int, turn: int) -> Column:
-    """count, keys and check of each of 3 * cells cells."""
-    spots = F.transform(keys, lambda k: F.struct(k.alias("k"), F.xxhash64(F.lit(77), k).alias("c"), places(k, cells, turn).alias("p")))
+def check(key: Column) -> Column:
+    return F.xxhash64(F.lit(77), key)
 
-    def cell(spot: Column, i: Column) -> Column:
-        start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
-        row = F.shiftright(i, cells.bit_length() - 1).cast("int")
-        return F.aggregate(
-            F.filter(spot, lambda s: F.get(s["p"], row) == i),
-            start,
-            lambda a, s: F.struct((a["n"] + 1).alias("n"), a["k"].bitwiseXOR(s["k"]).alias("k"), a["c"].bitwiseXOR(s["c"]).alias("c")),
-        )
 
-    return let(spots, lambda spot: F.transform(F.sequence(F.lit(0), F.lit(3 * cells - 1)), lambda i: cell(spot, i)))
+def added(a: Column, b: Column, sign: int = 1) -> Column:
+    """The sum of two cells, or their difference."""
+    return F.struct((a["n"] + sign * b["n"]).alias("n"), a["k"].bitwiseXOR(b["k"]).alias("k"), a["c"].bitwiseXOR(b["c"]).alias("c"))
 
 
-def subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["n"] - y["n"]).alias("n"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["c"].bitwiseXOR(y["c"]).alias("c")))
+def empty_cell() -> Column:
+    return F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("c"))
+
+
+def block_cells(keys: Column, turn: Column) -> Column:
+    """The cells of one block's digests."""
+    spots = F.transform(keys, lambda k: F.struct(F.lit(1).alias("n"), k.alias("k"), check(k).alias("c"), places(k, turn).alias("p")))
+    cell = lambda spot, i: F.aggregate(F.filter(spot, lambda s: F.get(s["p"], F.floor(i / CELLS).cast("int")) == i), empty_cell(), lambda s, x: added(s, x))
+    return let(spots, lambda spot: F.transform(F.sequence(F.lit(0), F.lit(BLOCK - 1)), lambda i: cell(spot, i)))
+
+
+def before(keys: Column, bound: Column) -> Column:
+    """How many of the ordered digests are smaller than a bound, by binary search."""
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(keys) + 1)).cast("int"))
+    halved = lambda s, _: let(F.floor((s["lo"] + s["hi"]) / 2).cast("int"), lambda m: F.when(s["lo"] >= s["hi"], s).when(F.get(keys, m) < bound, F.struct((m + 1).alias("lo"), s["hi"].alias("hi"))).otherwise(F.struct(s["lo"].alias("lo"), m.alias("hi"))))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(keys).alias("hi")), halved, lambda s: s["lo"])
+
+
+def block_keys(keys: Column, block: Column, bits: Column) -> Column:
+    """The digests of one of 2^bits ranges."""
+    def cut(lo: Column) -> Column:
+        hi = F.when(block + 1 == F.call_function("shiftleft", F.lit(1).cast("long"), bits), F.size(keys)).otherwise(before(keys, F.call_function("shiftleft", block + 1, BITS - bits)))
+        return F.slice(keys, lo + 1, hi - lo)
+
+    return F.when(bits == 0, keys).otherwise(let(before(keys, F.call_function("shiftleft", block, BITS - bits)), cut))
+
+
+def sketch(keys: Column) -> Column:
+    """bits (of the number of blocks) and all blocks' cells, one after the other."""
+    def of(bits: Column) -> Column:
+        blocks = F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+        return F.struct(bits.alias("bits"), F.flatten(F.transform(blocks, lambda g: block_cells(block_keys(keys, g, bits), F.lit(0)))).alias("cells"))
 
+    return let(F.greatest(F.ceil(F.log2(F.size(keys) / F.lit(float(LOAD)))), F.lit(0)).cast("int"), of)
 
-def peeled(cells: Column, size: int, turn: int) -> Column:
-    """The digests that differ, by peeling; null if it gets stuck."""
+
+def folded(a: Column, bits: Column) -> Column:
+    """A sketch's cells, with neighbouring blocks added up until 2^bits are left."""
+    def of(per: Column) -> Column:
+        def cell(i: Column) -> Column:
+            first = F.floor(i / BLOCK) * per * BLOCK + i % BLOCK
+            return F.aggregate(F.sequence(F.lit(0), per - 1), empty_cell(), lambda s, j: added(s, F.get(a["cells"], (first + j * BLOCK).cast("int"))))
+
+        n = F.size(a["cells"]) / per
+        return F.when(per == 1, a["cells"]).otherwise(F.transform(F.sequence(F.lit(0), (n - 1).cast("int")), cell))
+
+    return let(F.call_function("shiftleft", F.lit(1), a["bits"] - bits), of)
+
+
+def peeled(cells: Column, turn: Column) -> Column:
+    """The digests in which a block's two versions differ, from the difference of their cells; null if peeling gets stuck."""
     def pure(state: Column) -> Column:
-        return F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == F.xxhash64(F.lit(77), x["k"])))
+        return F.get(F.filter(state["cells"], lambda x: (F.abs(x["n"]) == 1) & (x["c"] == check(x["k"]))), 0)
+
+    def take(state: Column, x: Column) -> Column:
+        def of(p: Column) -> Column:
+            rest = F.transform(state["cells"], lambda y, i: F.when(F.get(p, F.floor(i / CELLS).cast("int")) == i, added(y, x, -1)).otherwise(y))
+            return F.struct(rest.alias("cells"), F.concat(state["found"], F.array(x["k"])).alias("found"), F.lit(False).alias("over"))
+
+        return let(places(x["k"], turn), of)
 
     def step(state: Column, _: Column) -> Column:
-        def take(x: Column) -> Column:
-            spots = places(x["k"], size, turn)
-            return let(spots, lambda p: F.struct(
-                F.transform(state["cells"], lambda y, i: F.when(F.get(p, F.shiftright(i, size.bit_length() - 1).cast("int")) == i, F.struct((y["n"] - x["n"]).alias("n"), y["k"].bitwiseXOR(x["k"]).alias("k"), y["c"].bitwiseXOR(x["c"]).alias("c"))).otherwise(y)).alias("cells"),
-                F.concat(state["found"], F.array(x["k"])).alias("found"),
-                F.lit(False).alias("stuck"),
-            ))
-
-        return F.when(state["stuck"], state).otherwise(let(F.get(pure(state), 0), lambda x: F.when(x.isNull(), F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("stuck"))).otherwise(take(x))))
-
-    start = F.struct(cells.alias("cells"), F.expr("cast(array() as array<bigint>)").alias("found"), F.lit(False).alias("stuck"))
-    # each step peels one digest; a sketch of 3 * size cells yields no more than that
-    end = F.aggregate(F.sequence(F.lit(1), F.lit(3 * size + 1)), start, step)
+        ended = F.struct(state["cells"].alias("cells"), state["found"].alias("found"), F.lit(True).alias("over"))
+        return F.when(state["over"], state).otherwise(let(pure(state), lambda x: F.when(x.isNull(), ended).otherwise(take(state, x))))
+
+    start = F.struct(cells.alias("cells"), F.expr("cast(array() as array<bigint>)").alias("found"), F.lit(False).alias("over"))
+    # each step peels one digest; a block's cells yield no more than there are
+    end = F.aggregate(F.sequence(F.lit(0), F.lit(BLOCK)), start, step)
     return let(end, lambda e: F.when(F.forall(e["cells"], lambda x: (x["n"] == 0) & (x["k"] == 0) & (x["c"] == 0)), e["found"]))
 
 
-def differing(a: Column, b: Column) -> Column:
-    """The digests in which two small groups differ: sketched, subtracted, peeled, and retried larger."""
-    tries = [peeled(subtracted(cell_table(a, n, t), cell_table(b, n, t)), n, t) for t, n in enumerate(SIZES)]
-    exact = F.concat(F.array_except(a, b), F.array_except(b, a))
-    return F.coalesce(*tries, exact)
+def subtracted(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: added(x, y, -1))
+
 
+def differing(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """The digests in which two texts differ: a, b their sketches; x, y what is sketched again where peeling gets stuck."""
+    def first(bits: Column) -> Column:
+        cells = subtracted(folded(a, bits), folded(b, bits))
+        blocks = F.sequence(F.lit(0).cast("long"), F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)
+        peel = lambda all_: F.transform(blocks, lambda g: F.struct(g.alias("g"), peeled(F.slice(all_, (g * BLOCK + 1).cast("int"), F.lit(BLOCK)), F.lit(0)).alias("found")))
+        return let(let(cells, peel), lambda got: gathered(got, F.expr("cast(array() as array<bigint>)"), bits))
 
-def group_of(key: Column, groups: Column) -> Column:
-    return F.pmod(F.shiftrightunsigned(key, 20), groups)
+    def gathered(got: Column, found: Column, bits: Column) -> Column:
+        """State after a turn: what was found so far, and the blocks that are stuck."""
+        more = F.flatten(F.transform(F.filter(got, lambda r: r["found"].isNotNull()), lambda r: r["found"]))
+        stuck = F.transform(F.filter(got, lambda r: r["found"].isNull()), lambda r: r["g"])
+        return F.struct(F.concat(found, more).alias("found"), stuck.alias("stuck"), bits.alias("bits"))
 
+    def larger(state: Column, turn: Column) -> Column:
+        def part(g: Column, bits: Column) -> Column:
+            cells = subtracted(block_cells(block_keys(x, g, bits), turn), block_cells(block_keys(y, g, bits), turn))
+            return F.struct(g.alias("g"), peeled(cells, turn).alias("found"))
 
-def count_differing(a: Column, b: Column) -> Column:
-    """How many digests differ; group by group, grouped in two levels."""
-    both = F.size(a) + F.size(b)
-    side = F.greatest(F.ceil(F.sqrt(both / F.lit(float(LOAD)))), F.lit(1)).cast("long")
+        quarters = F.flatten(F.transform(state["stuck"], lambda g: F.sequence(g * 4, g * 4 + 3)))
+        again = lambda bits: let(F.transform(quarters, lambda g: part(g, bits)), lambda got: gathered(got, state["found"], bits))
+        return F.when((F.size(state["stuck"]) == 0) | (state["bits"] + 2 > BITS - 1), state).otherwise(let(state["bits"] + 2, again))
 
-    def inner(x: Column, y: Column, n: Column) -> Column:
-        part = lambda keys, j: F.filter(keys, lambda k: F.pmod(F.shiftrightunsigned(k, 42), n) == j)
-        one = lambda j: let(F.struct(part(x, j).alias("x"), part(y, j).alias("y")), lambda g: F.when((F.size(g["x"]) == 0) | (F.size(g["y"]) == 0), F.size(g["x"]) + F.size(g["y"])).otherwise(F.size(differing(g["x"], g["y"]))))
-        return F.aggregate(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), one), F.lit(0), lambda s, d: s + d)
+    def left(state: Column) -> Column:
+        rest = F.transform(state["stuck"], lambda g: F.concat(block_keys(x, g, state["bits"]), block_keys(y, g, state["bits"])))
+        return F.concat(state["found"], F.flatten(rest))
 
-    def outer(n: Column) -> Column:
-        part = lambda keys, i: F.filter(keys, lambda k: group_of(k, n) == i)
-        one = lambda i: let(F.struct(part(a, i).alias("x"), part(b, i).alias("y")), lambda g: F.when(g["x"] == g["y"], F.lit(0)).otherwise(inner(g["x"], g["y"], n)))
-        return F.aggregate(F.transform(F.sequence(F.lit(0).cast("long"), n - 1), one), F.lit(0), lambda s, d: s + d)
+    return let(F.least(a["bits"], b["bits"]), lambda bits: F.aggregate(F.sequence(F.lit(1), F.lit(RETRIES)), first(bits), larger, left))
 
-    return let(side, outer)
 
+def digest_count(a: Column) -> Column:
+    """How many digests a sketch holds: each is counted in three cells."""
+    return F.aggregate(a["cells"], F.lit(0).cast("long"), lambda s, x: s + x["n"]) / 3
 
-def likeness(a: Column, b: Column) -> Column:
-    """Shared / all digests, from the counts and the peeled difference."""
-    def of(x: Column, y: Column) -> Column:
-        both = F.size(x) + F.size(y)
-        return let(count_differing(x, y), lambda d: F.when(both == 0, F.lit(1.0)).otherwise((both - d) / (both + d).cast("double")))
 
-    return F.when(a == b, F.lit(1.0)).otherwise(of(a, b))
+def likeness(a: Column, b: Column, x: Column, y: Column) -> Column:
+    """Shared / all digests of two sketches a, b (of x, y), from the counts and the peeled difference."""
+    of = lambda n, d: F.when(n == 0, F.lit(1.0)).otherwise((n - d) / (n + d))
+    return let(digest_count(a) + digest_count(b), lambda n: let(F.size(differing(a, b, x, y)), lambda d: of(n, d)))
 
 
-def fingerprint(keys: Column) -> Column:
-    """The first sketch's cells as hexadecimal digits: 4 for the count, 16 each for keys and check."""
+def fingerprint(a: Column) -> Column:
+    """A sketch's cells as hexadecimal digits: 8 for the count, 16 each for keys and check."""
     digit = lambda c, n: F.lpad(F.lower(F.hex(c)), n, "0")
-    cells = cell_table(keys, PRINT_CELLS, 0)
-    return F.array_join(F.transform(cells, lambda x: F.concat(digit(x["n"], 4), digit(x["k"], 16), digit(x["c"], 16))), "")
+    return F.array_join(F.transform(a["cells"], lambda x: F.concat(digit(x["n"], 8), digit(x["k"], 16), digit(x["c"], 16))), "")
 
 
 def with_next(docs: DataFrame) -> DataFrame:
@@ -180,11 +229,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every document."""
     rows = with_next(docs)
     rows = rows.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), "text", "next_text", edited(F.col("text"), F.col("next_text")).alias("edited"))
-    keys = F.struct(digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("edit"), digests(F.col("next_text")).alias("next"))
-    view = let(keys, lambda k: F.struct(
-        fingerprint(k["own"]).alias("fingerprint"),
-        fingerprint(k["edit"]).alias("edited_fingerprint"),
-        likeness(k["own"], k["edit"]).alias("near_edited"),
-        likeness(k["own"], k["next"]).alias("near_next"),
-    ))
-    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), view.alias("v")).select("doc_id", "n_chars", "edited_sha256", "v.*")
+    # one projection after the other: the analyser goes through nested lambdas level by level, up to a limit
+    keys = rows.select("doc_id", "n_chars", F.sha2(F.col("edited"), 256).alias("edited_sha256"), *[digests(F.col(c)).alias(c) for c in ("text", "edited", "next_text")])
+    made = keys.withColumns({f"{c}_sketch": sketch(F.col(c)) for c in ("text", "edited", "next_text")})
+    near = lambda c: likeness(F.col("text_sketch"), F.col(f"{c}_sketch"), F.col("text"), F.col(c))
+    return made.select(
+        "doc_id", "n_chars", "edited_sha256", fingerprint(F.col("text_sketch")).alias("fingerprint"), fingerprint(F.col("edited_sketch")).alias("edited_fingerprint"),
+        near("edited").alias("near_edited"), near("next_text").alias("near_next"),
+    )
