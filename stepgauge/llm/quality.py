@@ -1,21 +1,22 @@
 """Quality classifier: random-indexing word vectors and a small network.
 
 A text's tokens are runs of word characters and runs of other visible
-characters.  A token's terms are its folded spelling and its shape (upper,
-title, lower, digits, marks with their first character).  Random indexing: each
-term has a sparse ternary index vector made from its hash; a term's vector is
-its own index vector plus those of the terms next to it in the training texts,
-scaled by how often they meet.  A document is the mean vector of its terms and a
-few pooled rates of shapes and repeats; a two-layer numpy network gives a logit,
-and a temperature fitted on labelled rows kept apart turns it into a
-probability.
+characters.  A token is four terms: its folded spelling, its form (lower case,
+title, upper case, digits or marks), its form behind that of the token before,
+and its form with whether it repeats that token.  Random indexing: each term has
+a sparse ternary index vector made from its hash; a spelling's vector is its own
+index vector plus those of the spellings next to it in the training texts and of
+its forms, scaled by how often they meet.  A document is the mean vector of its
+terms, and that alone is what a two-layer numpy network makes a logit of; a
+temperature fitted on labelled rows kept apart turns it into a probability.
 
 The fit reads at most ``MAX_ROWS`` labelled rows (those with the smallest seeded
-hash) with texts of at most ``MAX_CHARS`` characters; every row is scored, whole.
-Only rows with crc32(doc_id) mod 5 other than 0 are learned from.  Labels, lang,
-source and doc_id are no inputs.
+hash) of at most ``MAX_BYTES`` of text together; a text of over a twentieth of
+that is not learned from.  Every row is scored, whole.  Only rows with
+crc32(doc_id) mod 5 other than 0 are learned from.  Labels, lang, source and
+doc_id are no inputs.
 
-Cases: null and empty texts are scored by the pooled zero vector; repeated rows
+Cases: null and empty texts are scored by the zero vector; repeated rows
 score alike; repeated labels of an id each count; without labelled rows, or with
 one class, the score is the (smoothed) share of label 1, 0.5 if none.  Other
 columns pass through ``remove_rejected`` untouched whatever their names.
@@ -28,21 +29,24 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stepgauge.llm.store import Sent
+from stepgauge.llm.store import Scratch, Sent
 from stepgauge.llm.wordscan import IS_WORD, LOWER, chunks, mix, runs, span_hashes, utf8
 
-MAX_ROWS, MAX_CHARS, ACCEPT, SEED = 3000, 20_000, 0.3, 31
-DIM, HIDDEN, TERMS, MIN_COUNT, NONZERO = 96, 24, 20_000, 5, 6
+MAX_ROWS, MAX_BYTES, ACCEPT, SEED = 3000, 24_000_000, 0.3, 31
+DIM, HIDDEN, TERMS, MIN_COUNT, NONZERO = 128, 24, 20_000, 5, 6
+#: Forms of a token; terms made of forms alone: a form, two forms, a form and a repeat.
+FORMS = 5
+FORM_TERMS = FORMS + FORMS * (FORMS + 1) + 2 * FORMS
 
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 class Tokens:
-    """hash (folded spelling), shape (0-4), doc, and the number of tokens of each row."""
+    """hash (folded spelling), shape (its form, 0-4), doc, and the number of tokens of each row."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         low = LOWER[data]
@@ -74,6 +78,21 @@ def index_vectors(terms: np.ndarray) -> np.ndarray:
     return out
 
 
+def form_terms(t) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of each token's three terms that are made of forms."""
+    form = t.shape.astype(np.int64)
+    behind = np.full(form.size, FORMS)
+    again = np.zeros(form.size, np.int64)
+    same = t.doc[1:] == t.doc[:-1]
+    behind[1:] = np.where(same, form[:-1], FORMS)
+    again[1:] = same & (t.hash[1:] == t.hash[:-1])
+    return form, FORMS + form * (FORMS + 1) + behind, FORMS + FORMS * (FORMS + 1) + 2 * form + again
+
+
+def form_vectors() -> np.ndarray:
+    return index_vectors(mix(np.arange(1, FORM_TERMS + 1).astype(np.uint64)))
+
+
 @dataclass
 class Model:
     terms: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
@@ -90,22 +109,14 @@ class Model:
         known = self.terms[slot] == t.hash if self.terms.size else np.zeros(t.hash.size, bool)
         row = np.where(known, slot, self.terms.size)
         size = np.maximum(t.n, 1).astype(np.float32)
-        out = np.zeros((n, DIM + 9), np.float32)
-        begin = np.concatenate([[0], np.cumsum(t.n)])
+        out = np.zeros((n, DIM), np.float32)
         for lo in range(0, row.size, 1 << 16):  # bounds the gathered vectors
             part, of = row[lo : lo + (1 << 16)], t.doc[lo : lo + (1 << 16)]
             at = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-            out[of[at], :DIM] += np.add.reduceat(self.vectors[part], at, axis=0)
-        out[:, :DIM] /= size[:, None]
-        for shape in range(5):
-            out[:, DIM + shape] = np.bincount(t.doc[t.shape == shape], minlength=n) / size
-        again = np.zeros(row.size, bool)
-        again[1:] = (t.hash[1:] == t.hash[:-1]) & (t.doc[1:] == t.doc[:-1])
-        out[:, DIM + 5] = np.bincount(t.doc[again], minlength=n) / size
-        out[:, DIM + 6] = np.bincount(t.doc[known], minlength=n) / size
-        out[:, DIM + 7] = np.log1p(t.n) / 10
-        out[:, DIM + 8] = (begin[1:] == begin[:-1]).astype(np.float32)
-        return out
+            out[of[at]] += np.add.reduceat(self.vectors[part], at, axis=0)
+        counts = sum(np.bincount(t.doc * FORM_TERMS + k, minlength=n * FORM_TERMS) for k in form_terms(t))
+        out += counts.reshape(n, FORM_TERMS).astype(np.float32) @ form_vectors()
+        return out / size[:, None]
 
     def logit(self, x: np.ndarray) -> np.ndarray:
         (w1, b1), (w2, b2) = self.layers
@@ -141,8 +152,8 @@ def random_indexing(t: AllTokens) -> tuple[np.ndarray, np.ndarray]:
     row[often] = np.arange(often.size)
     row = row[of]
     own = np.concatenate([index_vectors(terms[often]), np.zeros((1, DIM), np.float32)])
-    # the context of a term: the terms beside it, and its own shape
-    shapes = index_vectors(np.arange(1, 6).astype(np.uint64))
+    # the context of a spelling: the spellings beside it, and its own forms
+    shapes = form_vectors()[:FORMS]
     sums, n = np.zeros_like(own), np.zeros(own.shape[0], np.float32)
     next_to = t.doc[1:] == t.doc[:-1]
     left, right = row[:-1][next_to], row[1:][next_to]
@@ -154,7 +165,7 @@ def random_indexing(t: AllTokens) -> tuple[np.ndarray, np.ndarray]:
             at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
             sums[part[at]] += np.add.reduceat(own[b[lo : lo + (1 << 16)]], at, axis=0)
         n += np.bincount(a, minlength=n.size)
-    for shape in range(5):
+    for shape in range(FORMS):
         met = np.bincount(row[t.shape == shape], minlength=n.size).astype(np.float32)
         sums += met[:, None] * shapes[shape]
         n += met
@@ -205,12 +216,18 @@ def fold(doc_id: str = "doc_id"):
     return F.pmod(F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")), F.lit(5))
 
 
-def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_chars: int = MAX_CHARS) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Model:
     """Fit on a bounded sample of the labelled rows outside the held-out fold."""
     known = labels.where("quality is not null and doc_id is not null").where(fold() != 0)
     known = known.select(F.col("doc_id").alias("__id"), "quality", fold().alias("__fold"), F.xxhash64(F.lit(SEED), "doc_id", "quality").alias("__h")).orderBy("__h").limit(max_rows)
-    rows = docs.select("doc_id", "text").where(F.coalesce(F.length("text"), F.lit(0)) <= max_chars)
-    got = rows.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).orderBy("__h", F.xxhash64("text")).limit(max_rows).select("text", "quality", "__fold").toArrow()
+    rows = docs.select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("__size")).where(F.col("__size") <= max_bytes // 20)
+    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("__id")).select("__h", F.xxhash64("text").alias("__v"), "__size", "text", "quality", "__fold").orderBy("__h", "__v").limit(max_rows)
+    scratch = Scratch(docs.sparkSession, "quality")
+    rows = scratch.keep(rows)
+    # a window over max_rows rows at most
+    so_far = F.sum("__size").over(Window.orderBy("__h", "__v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    got = rows.withColumn("__so_far", so_far).where(F.col("__so_far") <= max_bytes).select("text", "quality", "__fold").toArrow()
+    scratch.drop()
     return fit(got.column(0).to_pylist(), np.array(got.column(1).to_pylist(), np.float64), np.array(got.column(2).to_pylist(), np.int64) == 1)
 
 
