@@ -9,8 +9,9 @@ matches with their places; documents with matches of ``min_items`` items are
 affected and can be removed.  Documents are never shuffled.
 
 An item of fewer words than the window, but not none, is one window of its own.
-The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES``; more
-blocks take more passes, whose findings are merged per text.
+The benchmark goes to the executors in blocks of at most ``BLOCK_BYTES``, one
+after the other; each block takes a pass over the documents, whose findings are
+written and merged per text.
 
 Cases: null, empty and wordless texts have no words and match nothing; an item
 without words matches nothing; repeated item ids are one item, a null id is the
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stepgauge.llm.store import Sent
+from stepgauge.llm.store import Scratch, Sent
 from stepgauge.llm.wordscan import Words, scanned, utf8
 
 WINDOW, MIN_ITEMS = 8, 2
@@ -185,8 +186,8 @@ def searched(batches: Iterator[pa.RecordBatch], tests: TestSuffixes, pass_on: li
             yield pa.RecordBatch.from_arrays([*part, pa.array(w.n), spans, items, matches], [*pass_on, "n_words", "spans", "items", "matches"])
 
 
-def blocks(benchmark: DataFrame) -> Iterator[Sent]:
-    """The benchmark in blocks whose texts have at most about BLOCK_BYTES."""
+def blocks(benchmark: DataFrame) -> Iterator[tuple[int, Sent]]:
+    """How many blocks there are, and the benchmark in blocks whose texts have at most about BLOCK_BYTES."""
     spark = benchmark.sparkSession
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -194,26 +195,29 @@ def blocks(benchmark: DataFrame) -> Iterator[Sent]:
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
         got = part.collect()
-        yield Sent(spark, TestSuffixes([r[0] for r in got], [r[1] for r in got]))
+        yield n, Sent(spark, TestSuffixes([r[0] for r in got], [r[1] for r in got]))
 
 
 def suffix_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, spans (hit words, merged), items (sorted as strings), matches (longest, with places)."""
-    return versions_matched(docs, list(blocks(benchmark))).drop("version")
+    return versions_matched(docs, benchmark).drop("version")
 
 
-def versions_matched(docs: DataFrame, tests: list[Sent]) -> DataFrame:
+def versions_matched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``suffix_matches`` with version, the hash of the text, which tells rows of one id apart."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = []
-    for block in tests:
-        rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
-        parts.append(rows.mapInArrow(lambda it, t=block: searched(it, t.value, ["doc_id", "version"]), f"doc_id {kind}, version long, {SCHEMA}"))
-    if len(parts) == 1:
-        return parts[0]
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), "text")
+    scratch, parts = Scratch(docs.sparkSession, "suffixes"), []
+    found_in = lambda block: rows.mapInArrow(lambda it: searched(it, block.value, ["doc_id", "version"]), f"doc_id {kind}, version long, {SCHEMA}")
+    for n, block in blocks(benchmark):
+        if n == 1:
+            return found_in(block)
+        part = found_in(block)
+        parts.append(scratch.keep(part.where("size(items) > 0") if parts else part))
+        block.close()
     found = parts[0].where("size(items) > 0")
     for part in parts[1:]:
-        found = found.union(part.where("size(items) > 0"))
+        found = found.union(part)
     join = lambda c: F.flatten(F.collect_list(c))
     found = found.groupBy(F.col("doc_id").alias("d"), F.col("version").alias("v")).agg(join("spans").alias("s"), join("items").alias("i"), join("matches").alias("m"))
     merged = F.aggregate(
@@ -229,18 +233,19 @@ def versions_matched(docs: DataFrame, tests: list[Sent]) -> DataFrame:
 
 def remove_affected(docs: DataFrame, benchmark: DataFrame, min_items: int = MIN_ITEMS) -> DataFrame:
     """docs without those in which windows of ``min_items`` items or more occur."""
-    tests = list(blocks(benchmark))
     names = docs.columns
     row = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"))
-    if len(tests) == 1:
-        def kept(batches, t=tests[0]):
-            known = t.value
+    n, block = next(blocks(benchmark))
+    if n == 1:
+        def kept(batches):
+            known = block.value
             for batch in batches:
                 whole = batch.column("__row")
                 both = pa.RecordBatch.from_arrays([whole, whole.field("text")], ["__row", "text"])
                 yield from searched([both], known, ["__row"], min_items)
 
         return row.mapInArrow(kept, row.schema).select("__row.*")
-    found = versions_matched(docs, tests).where(F.size("items") >= min_items).select(F.col("doc_id").alias("__bad"), F.col("version").alias("__version")).distinct()
+    block.close()
+    found = versions_matched(docs, benchmark).where(F.size("items") >= min_items).select(F.col("doc_id").alias("__bad"), F.col("version").alias("__version")).distinct()
     same = F.col("__row.doc_id").eqNullSafe(F.col("__bad")) & (F.xxhash64("__row.text") == F.col("__version"))
     return row.join(found, same, "left_anti").select("__row.*")
