@@ -8,6 +8,8 @@ is an earlier one; the message answers the one from which it quotes most at its
 lowest linked level (of ties the later).  Conversations are ordered by what is
 answered, then by turn, which puts every reply behind its original, and hold the
 messages without their quotes and without the line that introduces a quote.
+A conversation is a row for each message with the key of its place, so that one
+of any length needs no task of its own; rows come in no order of their own.
 
 Cases: null and empty texts have no passages and stay; a quote that no earlier
 message wrote links nothing; a message without a link answers the turn before
@@ -21,9 +23,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Parts into which a passage's links are spread before they are joined.
-SALTS = 16
-
 
 def lines(text: Column) -> Column:
     """level and body of each line."""
@@ -60,9 +59,8 @@ def links(messages: DataFrame) -> DataFrame:
     quoting = messages.where(F.col("text").rlike(r"(?m)^[ \t]*>"))
     quoted = passages(quoting).where("level > 0").distinct()
     first = passages(messages).where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("origin"))
-    quoted = quoted.withColumn("salt", F.pmod(F.xxhash64("turn", "version"), F.lit(SALTS)).cast("int"))
-    first = first.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = quoted.join(first, ["conv_id", "hash", "salt"]).where("origin < turn")
+    # ``first`` has one row for a passage, so a passage that is quoted very often makes no pairs; its rows are dealt out as a skewed join
+    met = quoted.join(first, ["conv_id", "hash"]).where("origin < turn")
     key = ["conv_id", "turn", "version"]
     voted = met.groupBy(*key, "level", "origin").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("passages"))
     best = voted.groupBy(*key).agg(F.max(F.struct(-F.col("level"), "size", "origin", "passages")).alias("b"))
@@ -70,7 +68,7 @@ def links(messages: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame) -> DataFrame:
-    """conv_id, turn, role, text (without quotes), parent_turn, quoted_level, quoted_passages, reply_key; in reply order.
+    """conv_id, turn, role, text (without quotes), parent_turn, quoted_level, quoted_passages, reply_key.
 
     reply_key orders a conversation's messages: by the turn that they answer
     (the turn before, where no quote tells), then by their own turn.
@@ -82,4 +80,4 @@ def conversations(messages: DataFrame) -> DataFrame:
     out = rows.join(found, ["conv_id", "turn", "version"], "left")
     before = F.coalesce("parent_turn", F.col("turn") - 1)
     out = out.withColumn("reply_key", F.format_string("%019d.%019d", before + 1, F.col("turn")))
-    return out.select("conv_id", "turn", "role", "text", "parent_turn", "quoted_level", F.coalesce("quoted_passages", F.lit(0)).alias("quoted_passages"), "reply_key").orderBy("conv_id", "reply_key")
+    return out.select("conv_id", "turn", "role", "text", "parent_turn", "quoted_level", F.coalesce("quoted_passages", F.lit(0)).alias("quoted_passages"), "reply_key")
