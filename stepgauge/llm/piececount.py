@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame
 
 from stepgauge.llm.store import Sent
 
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The automaton is sent to all executors, so the file it is made from is bounded.
 VOCABULARY_BYTES = 64_000_000
 #: Words whose counts a worker remembers.
@@ -40,7 +39,7 @@ _WORDS = re.compile(rb"[ \t\n\x0b\f\r]*(?:[^\x00-\x20!-/:-@\[-`{-\x7f]+|[\x00-\x
 _SPACE = b" \t\n\x0b\f\r"
 
 
-def load_vocabulary(path: str = VOCABULARY) -> tuple[list[bytes], list[bytes], bytes]:
+def load_vocabulary(path: str) -> tuple[list[bytes], list[bytes], bytes]:
     """(pieces that begin words, pieces that go on, mark before a word) of a tiktoken file, a byte-level JSON or a vocab.txt."""
     with open(path, "rb") as file:
         raw = file.read(VOCABULARY_BYTES + 1)
@@ -122,7 +121,7 @@ class Automaton:
         """(words, tokens) of a text; known: counts that are remembered."""
         words = tokens = 0
         for run in _WORDS.findall(text):
-            n = known.get(run)
+            n = known.get(run) if words else None  # a text's first word may have the mark without white space
             if n is None:
                 word = run.lstrip(_SPACE)
                 n = self.count(self.mark + word if self.mark and (len(word) < len(run) or not words) else word)
@@ -135,7 +134,7 @@ class Automaton:
         return words, tokens
 
 
-def counted(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
+def counted(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_words, n_tokens of every whole text."""
     automaton = Sent(docs.sparkSession, Automaton(*load_vocabulary(vocabulary)))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -22,6 +22,7 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
         (F.size("items") >= decontaminate.MIN_ITEMS).alias("contaminated"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["n_words"])), F.lit(0)).cast("long").alias("longest_match"),
     )
 
 
@@ -31,7 +32,7 @@ def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    out = shards.dealt(docs, [F.col("doc_id"), F.col("text_crc32")])
+    out = shards.dealt(docs)
     return out.select("row.*", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -39,8 +40,12 @@ def op3_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return zipwarc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: The query's vocabulary, a file of the driver's.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
 def op4_piece_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piececount.counted(table(spark, sf_dir, "documents"))
+    return piececount.counted(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 def op5_quote_links(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,10 +113,15 @@ hits AS (SELECT rid, i, p.size, item_id FROM places p JOIN heads h ON p.size = h
 words AS (SELECT rid, count(DISTINCT i + k) AS n_hit FROM hits, unnest(range(0, size)) AS t(k) GROUP BY rid),
 items AS (
   SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
-  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid)
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid),
+starts AS (SELECT DISTINCT item_id, i AS place, least(8, len(w)) AS size, w[i : i + least(8, len(w)) - 1] AS head FROM b, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS t(i) WHERE len(w) > 0),
+met AS (SELECT rid, item_id, p.i AS at, p.i - place AS shift, p.size FROM places p JOIN starts s ON p.size = s.size AND p.head = s.head),
+runs AS (SELECT *, at - row_number() OVER (PARTITION BY rid, item_id, shift ORDER BY at) AS run FROM met),
+longest AS (SELECT rid, max(n) AS longest FROM (SELECT rid, count(*) + min(size) - 1 AS n FROM runs GROUP BY rid, item_id, shift, run) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
-  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated
-FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid)
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated,
+  CAST(coalesce(longest, 0) AS BIGINT) AS longest_match
+FROM d LEFT JOIN words USING (rid) LEFT JOIN items USING (rid) LEFT JOIN longest USING (rid)
 """
 
 _OP3 = """
