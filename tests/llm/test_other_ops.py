@@ -87,7 +87,7 @@ def greedy(word, begins, goes_on):
 
 
 def test_piece_counts_are_greedy_longest_match(spark, sf_dir):
-    pieces = set(piececount.load_vocabulary()[0])
+    pieces = set(piececount.load_vocabulary(queries.VOCABULARY)[0])
     want, known = {}, {}
     for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
         n, parts = 0, re.findall(rb"([ \t\n\x0b\f\r]*)([^\x00-\x20!-/:-@\[-`{-\x7f]+|[\x00-\x08\x0e-\x1f!-/:-@\[-`{-\x7f])", r.text.encode())
@@ -121,12 +121,21 @@ def test_piece_counts_of_random_vocabularies(tmp_path):
 
 
 def test_piece_counts_odd_cases(spark):
-    got = {r.doc_id: r for r in piececount.counted(frame(spark, ODD)).collect()}
+    got = {r.doc_id: r for r in piececount.counted(frame(spark, ODD), queries.VOCABULARY).collect()}
     assert [got[i].n_words for i in range(3)] == [0, 0, 0] and got[3].n_tokens == 1
     assert got[6].n_words == 3001 and got[6].n_tokens == got[7].n_tokens
     json_file = piececount.load_vocabulary("/opt/tokenizers/byte_bpe_50k.json")[0]
-    assert set(json_file) >= set(piececount.load_vocabulary()[0])
-    assert piececount.counted(frame(spark, ODD).limit(0)).count() == 0
+    assert set(json_file) >= set(piececount.load_vocabulary(queries.VOCABULARY)[0])
+    assert piececount.counted(frame(spark, ODD).limit(0), queries.VOCABULARY).count() == 0
+
+
+def test_piece_counts_do_not_depend_on_the_rows_before():
+    machine = piececount.Automaton(*piececount.load_vocabulary(queries.VOCABULARY))
+    texts = [b"sorting", b"(sorting", b" sorting", b"Madrid", b"(Madrid", b"quelque", b"(quelque", b"a sorting (sorting"]
+    alone = [machine.text(t, {}) for t in texts]
+    for order in (range(len(texts)), reversed(range(len(texts)))):
+        known = {}
+        assert all(machine.text(texts[i], known) == alone[i] for i in [*order] * 2)
 
 
 def talk(spark, rows):
@@ -159,6 +168,7 @@ def test_quotes_are_linked(spark):
     assert of[1, 5].parent_turn == 1 and of[1, 5].quoted_passages == 1
     assert of[2, 1].parent_turn is None and of[2, 3].parent_turn == 2 and of[1, 0].text == rows[0][3]
     assert of[3, 0].text is None
+    got.sort(key=lambda r: (r.conv_id is None, r.conv_id, str(r.reply_key)))
     assert [r.turn for r in got if r.conv_id == 1] == [0, 1, 3, 2, 4, 5]
     for c in (1, 2):  # replies stand behind what they answer
         order = [r.turn for r in got if r.conv_id == c]
@@ -170,10 +180,68 @@ def test_quotes_over_the_table(spark, sf_dir):
     got = queries.op5_quote_links(spark, sf_dir).collect()
     want = sorted(tuple(r) for r in rows.select("conv_id", "turn", "role", "text").collect())
     assert sorted((r.conv_id, r.turn, r.role, r.text) for r in got) == want  # these hold no quotes
-    assert [(r.conv_id, r.turn) for r in got] == [x[:2] for x in want]
+    assert [(r.conv_id, r.turn) for r in sorted(got, key=lambda r: (r.conv_id, r.reply_key))] == [x[:2] for x in want]
     assert quotelinks.conversations(rows.limit(0)).count() == 0
 
 
+def brute_links(rows):
+    """(conv, turn, text) to (parent, level, passages), by the rules of the docstring."""
+    def passages(text):
+        for line in (text or "").split("\n"):
+            mark = re.match(r"[> \t]*", line)[0]
+            level = mark.count(">")
+            body = re.sub(r"\s+", " ", line[len(mark) :] if level else line).strip(" ").lower()
+            if body:
+                yield level, body
+
+    first = {}
+    for conv, turn, text in rows:
+        for level, body in passages(text):
+            if not level:
+                first[conv, body] = min(turn, first.get((conv, body), turn))
+    out = {}
+    for conv, turn, text in rows:
+        votes = {}
+        for level, body in set(passages(text)):
+            origin = first.get((conv, body), turn)
+            if level and origin < turn:
+                size, n = votes.get((level, origin), (0, 0))
+                votes[level, origin] = (size + len(body), n + 1)
+        best = max(((-level, size, origin, n) for (level, origin), (size, n) in votes.items()), default=None)
+        own = [line for line in (text or "").split("\n") if ">" not in re.match(r"[> \t]*", line)[0]]
+        out[conv, turn] = (best and best[2], best and -best[0], best[3] if best else 0, [x for x in own if not x.lower().rstrip(" ").endswith("wrote:")])
+    return out
+
+
+def test_quotes_are_brute_force(spark):
+    """Generated threads: nested quotes in other spelling, passages that many messages share, quotes of nobody."""
+    rng, rows = random.Random(12), []
+    common = ["Thanks a lot", "best  regards"]
+    for conv in range(30):
+        said = []
+        for turn in range(rng.randint(2, 25)):
+            lines = []
+            for _ in range(rng.randint(0, 3)):
+                if said and rng.random() < 0.9:
+                    level, body = rng.choice(rng.choice(said))
+                    body = re.sub(" ", lambda _: " " * rng.randint(1, 2), body.upper() if rng.random() < 0.3 else body)
+                    lines.append((level + 1, body))
+                else:
+                    lines.append((rng.randint(1, 3), f"nobody {rng.random()}"))
+            lead = ["On Monday you wrote:"] if lines and rng.random() < 0.4 else []
+            own = [(0, rng.choice(common) if rng.random() < 0.3 else f"line {rng.randrange(40)} of {conv} {'word ' * rng.randrange(4)}end") for _ in range(rng.randint(1, 4))]
+            said.append(lines + own)
+            marks = lambda n: rng.choice((">" * n, "> " * n)) if n else ""
+            rows.append((conv, turn, "\n".join([*lead, *(marks(n) + x for n, x in lines), *(x for _, x in own)])))
+    got = {(r.conv_id, r.turn): r for r in quotelinks.conversations(talk(spark, [(c, t, "user", x) for c, t, x in rows])).collect()}
+    want = brute_links(rows)
+    assert sum(w[0] is not None for w in want.values()) > 150 and {w[1] for w in want.values()} >= {None, 1, 2, 3}
+    for key, (parent, level, n, own) in want.items():
+        r = got[key]
+        assert (r.parent_turn, r.quoted_level, r.quoted_passages) == (parent, level, n), key
+        assert r.text == "\n".join(own).strip(" "), key
+
+
 def paragraphs(text):
     return {x.strip(" ") for x in (text or "").split("\n") if x.strip(" ")}
 
@@ -218,16 +286,26 @@ def test_sketches_odd_cases(spark):
 def test_peeling_recovers_the_digests(spark):
     rng = random.Random(3)
     rows = []
-    for n in (0, 1, 2, 5, 9, 40):
-        shared = [rng.getrandbits(63) for _ in range(20)]
+    for n in (0, 1, 2, 5, 9, 40, 300, 1500):
+        shared = [rng.getrandbits(63) for _ in range(rng.choice((0, 20, 400)))]
         a, b = [rng.getrandbits(63) for _ in range(n)], [rng.getrandbits(63) for _ in range(n // 2)]
-        rows.append((shared + a, b + shared, sorted(a + b)))
+        rows.append((sorted(shared + a), sorted(b + shared), sorted(a + b)))
     df = spark.createDataFrame(rows, "a array<long>, b array<long>, want array<long>")
-    one = sketch.peeled(sketch.subtracted(sketch.cell_table(F.col("a"), 64, 2), sketch.cell_table(F.col("b"), 64, 2)), 64, 2)
-    small = sketch.peeled(sketch.subtracted(sketch.cell_table(F.col("a"), 4, 0), sketch.cell_table(F.col("b"), 4, 0)), 4, 0)
-    for r in df.select("want", F.array_sort(one).alias("one"), F.array_sort(small).alias("small"), F.array_sort(sketch.differing(F.col("a"), F.col("b"))).alias("all")).collect():
-        assert r.all == r.want and r.one == r.want
-        assert r.small in (r.want, None) and (len(r.want) <= 12 or r.small is None)
+    df = df.withColumns({"s": sketch.sketch(F.col("a")), "t": sketch.sketch(F.col("b"))})
+    one = sketch.peeled(sketch.subtracted(sketch.block_cells(F.col("a"), F.lit(2)), sketch.block_cells(F.col("b"), F.lit(2))), F.lit(2))
+    every = sketch.differing(F.col("s"), F.col("t"), F.col("a"), F.col("b"))
+    for r in df.select("want", "s", F.array_sort(one).alias("one"), F.array_sort(every).alias("all"), sketch.digest_count(F.col("s")).alias("n"), "a").collect():
+        assert r.all == r.want and r.n == len(r.a)
+        assert r.one in (r.want, None) and (len(r.want) <= sketch.BLOCK or r.one is None)
+        assert len(r.s.cells) == sketch.BLOCK << r.s.bits and sketch.LOAD << r.s.bits >= len(r.a)
+
+
+def test_sketches_fold_to_those_of_a_smaller_size(spark):
+    rng = random.Random(8)
+    keys = sorted(rng.getrandbits(63) for _ in range(700))
+    df = spark.createDataFrame([(keys,)], "a array<long>").withColumn("s", sketch.sketch(F.col("a")))
+    r = df.select("s", sketch.folded(F.col("s"), F.lit(0)).alias("one"), sketch.block_cells(F.col("a"), F.lit(0)).alias("want"), sketch.before(F.col("a"), F.lit(keys[333])).alias("at")).first()
+    assert r.s.bits == 4 and r.one == r.want and r.at == 333
 
 
 def brute_base(text):

@@ -9,6 +9,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,7 +66,8 @@ def test_decontaminate_is_brute_force(spark, sf_dir):
     got = {r[0]: tuple(r[1:]) for r in queries.op1_decontaminate(spark, sf_dir).collect()}
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    assert got == brute_decontaminate(docs, items)
+    assert {k: v[:-1] for k, v in got.items()} == brute_decontaminate(docs, items)
+    assert all((v[-1] > 0) == (v[2] > 0) and v[-1] <= v[1] for v in got.values())
     assert any(v[2] for v in got.values())
 
 
@@ -121,14 +123,30 @@ def test_shards_are_exact(spark, sf_dir):
     assert {(r.doc_id, r.shard, r.slot) for r in again} == {(r.doc_id, r.shard, r.slot) for r in rows}
 
 
-def test_shards_odd_cases(spark):
+def test_shards_odd_cases(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(shards, "RANGE_ROWS", 1)
     docs = frame(spark, [*ODD, None, "a", "a"], [None, 1, 1, 1, 4, 5, 6, 6, 6, None, 7, 7])
-    out = shards.dealt(docs, shards=5)
-    assert out.select("row.*").schema == docs.schema
-    rows = out.collect()
-    assert Counter(str(r.row) for r in rows) == Counter(str(r) for r in docs.collect())
-    assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(5) for i in range(3 - (s >= 2))]
+    for sent in (10, 0):
+        monkeypatch.setattr(shards, "PARTITIONS_SENT", sent)
+        out = shards.dealt(docs, shards=5)
+        assert out.select("row.*").schema == docs.schema
+        rows = out.collect()
+        assert Counter(str(r.row) for r in rows) == Counter(str(r) for r in docs.collect())
+        assert sorted((r.shard, r.slot) for r in rows) == [(s, i) for s in range(5) for i in range(3 - (s >= 2))]
     assert shards.dealt(docs.limit(0)).count() == 0
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op2_shards(spark, str(tmp_path)).collect()
+    assert len(got) == docs.count() and {(r["size"], r.text_crc32) for r in got if r.doc_id is None} == {(1, 0)}
+
+
+def test_shards_of_equal_rows_are_uniform(spark):
+    """A third of the rows are one row; every partition sends each shard about its share, in a new order."""
+    docs = spark.range(24_000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("doc_id"), F.lit("t").alias("text")).repartition(6)
+    rows = shards.dealt(docs).collect()
+    same = Counter(r.shard for r in rows if r.row.doc_id == 0)
+    assert all(abs(same[j] - 1000) < 150 for j in range(8))
+    first = [r.slot for r in rows if r.row.doc_id == 0]
+    assert abs(np.mean(first) - 1500) < 60
 
 
 def test_hypergeometric_law():
@@ -155,6 +173,24 @@ def test_quality_held_out_accuracy(spark):
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in rows.values())
 
 
+def test_quality_ranks_and_is_calibrated():
+    """The pooled vectors alone, fitted as in production, on the held-out fold of the largest table."""
+    read = lambda name, columns: pq.read_table(f"/root/testdata/sf0.1/{name}.parquet", columns=columns).to_pydict()
+    docs, known = read("documents", ["doc_id", "text"]), read("labels", ["doc_id", "quality"])
+    text = dict(zip(docs["doc_id"], docs["text"], strict=True))
+    rows = [(text[d], q, zlib.crc32(str(d).encode()) % 5) for d, q in zip(known["doc_id"], known["quality"], strict=True) if d in text]
+    learned = [r for r in rows if r[2]][: quality.MAX_ROWS]
+    model = quality.fit([r[0] for r in learned], np.array([r[1] for r in learned], float), np.array([r[2] == 1 for r in learned]))
+    assert model.layers[0][0].shape == (quality.DIM, quality.HIDDEN)
+    held = [r for r in rows if not r[2]]
+    score, y = quality.scores(pa.array([r[0] for r in held]), model), np.array([r[1] for r in held])
+    rank = np.argsort(np.argsort(score)) + 1
+    auc = (rank[y == 1].sum() - y.sum() * (y.sum() + 1) / 2) / (y.sum() * (len(y) - y.sum()))
+    assert auc >= 0.98 and np.mean((score >= quality.ACCEPT) == y) >= 0.97
+    bins = np.minimum((score * 10).astype(int), 9)
+    assert sum(abs(score[bins == b].mean() - y[bins == b].mean()) * (bins == b).mean() for b in set(bins)) < 0.03
+
+
 def test_quality_odd_cases(spark):
     docs = frame(spark, ODD)
     for labels in ([], [(1, 1)], [(3, 0), (3, 0), (5, 1), (None, 1), (8, None)]):
@@ -307,20 +343,38 @@ def test_near_dedup_of_copies_that_repeat_a_passage(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts) == [0, 0, 0, 3]
 
 
-def test_near_dedup_makes_the_pairs_that_pivots_leave(spark, monkeypatch):
-    """One band of one coordinate, so no other bucket makes up for what the pivots do not meet."""
-    monkeypatch.setattr(dartdedup, "BANDS", 1)
-    monkeypatch.setattr(dartdedup, "ROWS", 1)
-    scratch = dartdedup.Scratch(spark, "test")
-    sig = np.array([7], np.uint32).tobytes()
-    known = scratch.keep(spark.createDataFrame([(bytes([i]), bytearray(sig), None) for i in range(12)], "content binary, sig binary, plain binary"))
-    pairs, rest = (scratch.keep(x) for x in dartdedup.candidates(scratch, known))
-    links = scratch.keep(pairs.limit(0))
-    for few in (0, 100):
-        monkeypatch.setattr(dartdedup, "FEW", few)
-        more = dartdedup.further(scratch, known, rest, links)
-        made = {(bytes(r.a), bytes(r.b)) for r in pairs.union(more).collect()}
-        assert len(made) == 12 * 11 // 2
+def test_near_dedup_finds_what_pivots_leave(spark, monkeypatch):
+    """All texts in one bucket whose pivots are like none: the exact stage alone has to find the links."""
+    rng, texts = random.Random(11), []
+    new = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = new(40)
+    for i in range(40):
+        base = new(rng.randint(20, 90)) + passage * rng.choice((0, 1, 1, 3))
+        texts.append(" ".join(base))
+        for _ in range(rng.randint(0, 3)):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), rng.randint(1, 4)):
+                copy[at] = new(1)[0]
+            texts.append(" ".join(copy + (passage[:10] * 4 if i % 7 == 0 else [])))
+    texts += ["a b c", "a b c d", "a, b. C", " ".join(passage), " ".join(passage * 2)]
+
+    def one_bucket(scratch, known):
+        rest = known.where("sig is not null").select(F.lit(1).cast("long").alias("bucket"), "content")
+        return rest.select(F.col("content").alias("a"), F.col("content").alias("b")).limit(0), rest
+
+    monkeypatch.setattr(dartdedup, "candidates", one_bucket)
+    got = {r.doc_id: r.class_id for r in dartdedup.classes(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts)
+
+
+def test_darts_of_many_short_texts_are_thrown_in_parts(monkeypatch):
+    texts = pa.array([f"a{i} b c d e f" for i in range(5000)])
+    sizes = []
+    real = dartdedup.signatures
+    monkeypatch.setattr(dartdedup, "signatures", lambda doc, element, weight, n, k: (sizes.append(n), real(doc, element, weight, n, k))[1])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000)), pa.array(range(5000)), texts], ["doc_id", "version", "text"])
+    assert sum(b.num_rows for b in dartdedup.described(iter([batch]), 25)) == 5000
+    assert max(sizes) <= dartdedup.TEXTS_AT_ONCE
 
 
 def test_dart_signatures_estimate_weighted_jaccard():
