@@ -12,15 +12,20 @@ filled throws on with twice that.
 
 Near is what the larger of weighted and plain Jaccard similarity says, so texts
 that repeat a shingle have a second signature with all weights 1; that of a text
-without repeats serves as both.  Signatures are cut into bands.  Of each band's bucket the most central text and
-a seeded other one are its pivots, with which all others are compared first.
-Signatures decide clear pairs; the rest that would still join two components
-are compared exactly on both texts.  Where the other texts of a bucket are then
-still of several components, the pairs across these are made too: all of them
-in small buckets; in larger ones those that can agree in ``HOPELESS`` or more of
-the coordinates.  Such a pair shares one of the coordinates that are left when
-as many as may differ, rarest first, are looked at, so a passage that many texts
-share makes no pairs by itself.  Components of all links are the classes.
+without repeats serves as both.  Signatures are cut into bands.  Of each band's
+bucket the most central text and a seeded other one are its pivots, with which
+all others are compared first.  Signatures decide only what they can't well get
+wrong (``SURE``, ``HOPELESS``: at 0.8 one pair in a million); the rest that would
+still join two components is compared exactly on both texts.
+
+Where the other texts of a bucket are then still of several components, the
+links that pivots miss are found exactly, whatever the bucket's size: near texts
+have one of their rarest shingles in common (of n, one of the first
+n - 0.8 n + 1 in order of frequency), at places and with lengths that leave room
+for the overlap.  Shingles of one component alone come first in the order and
+make no pairs, so a passage that many texts share makes none by itself, unless
+texts consist of it for four fifths and are still not near.  Components of all
+links are the classes.
 
 Cases: null, empty and wordless texts are near only to texts that are equal to
 them; repeated rows share a class; equal word sequences always do; a class is
@@ -31,12 +36,11 @@ looked at and stay where rows are returned.
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepgauge.llm.store import Scratch
@@ -44,9 +48,11 @@ from stepgauge.llm.wordscan import Words, mix, scanned, utf8
 
 SHINGLE, THRESHOLD, BANDS, ROWS, SEED = 5, 0.8, 25, 5, 17
 #: Signature agreement (of BANDS * ROWS coordinates) from which a pair is linked, or below which it is dropped, unseen.
-SURE, HOPELESS = 0.92, 0.62
-#: Texts of a bucket, without its pivots, up to which all pairs across components are made.
-FEW = 8
+SURE, HOPELESS = 0.96, 0.62
+#: Texts that throw their darts at once: each throws about ``k (ln k + 2)`` however short it is.
+TEXTS_AT_ONCE = 1000
+#: Links in a file, about, while components are looked for.
+LINKS_AT_ONCE = 200_000
 
 _G = np.uint64(0x9E3779B97F4A7C15)
 
@@ -117,7 +123,7 @@ def described(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
     """doc_id, text -> doc_id, version, content, sig, plain: the worker's side of ``describe``."""
     for batch in batches:
         texts = batch.column("text")
-        for lo, hi, w in scanned(texts):
+        for lo, hi, w in scanned(texts, rows=TEXTS_AT_ONCE):
             doc, element, count = shingles(w)
             sig = signatures(doc, element, count.astype(np.float64), hi - lo, k)
             # only texts that repeat a shingle have a plain signature of their own
@@ -183,14 +189,19 @@ def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     step; both joins read written tables, so hot nodes can be split.
     """
     edges = scratch.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
-    labels = scratch.keep(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
+    # tables of links are small beside the documents: as many files as their rows ask for
+    parts = -(-edges.count() // LINKS_AT_ONCE)
+    keep = lambda rows: scratch.keep(rows.coalesce(max(1, parts)))
+    labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
     while True:
         near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("seen"))
-        better = scratch.keep(labels.join(near, labels.node == near["at"], "left").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("old")))
+        better = keep(labels.join(near, labels.node == near["at"], "left").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("old")))
         far = better.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        jumped = scratch.keep(better.join(far, better.label == far["at"], "left").select("node", F.least("label", "further").alias("label"), (F.least("label", "further") != F.col("old")).alias("moved")))
+        jumped = keep(better.join(far, better.label == far["at"], "left").select("node", F.least("label", "further").alias("label"), (F.least("label", "further") != F.col("old")).alias("moved")))
+        scratch.discard(labels, better)
         labels = jumped.select("node", "label")
         if not jumped.where("moved").limit(1).count():
+            scratch.discard(edges)
             return labels
 
 
@@ -210,44 +221,68 @@ def candidates(scratch: Scratch, known: DataFrame) -> tuple[DataFrame, DataFrame
     return pairs.select(F.least("content", "pivot").alias("a"), F.greatest("content", "pivot").alias("b")).distinct(), rest
 
 
-def across(left: DataFrame, right: DataFrame, key: str, once) -> DataFrame:
-    """a, b: the pairs of texts of different labels with the same key."""
-    one, two = (d.select(key, F.col("content").alias(c), F.col("label").alias(f"label_{c}"), *[x for x in d.columns if x == "most"]) for d, c in ((left, "x"), (right.drop("most"), "y")))
-    pairs = one.join(two, key).where("label_x != label_y").where(once)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """content, label, text -> content, label, view, size, token: each text's shingles; a text that repeats some has a second view in which repeats are tokens of their own."""
+    for batch in batches:
+        for lo, hi, w in scanned(batch.column("text"), 1_000_000):
+            doc, element, count = shingles(w)
+            n = np.bincount(doc, minlength=hi - lo)
+            total = np.bincount(doc, weights=count, minlength=hi - lo).astype(np.int64)
+            mine = total[doc] > n[doc]
+            again, size = np.repeat(np.flatnonzero(mine), count[mine]), count[mine]
+            layer = np.arange(again.size) - np.repeat(np.cumsum(size) - size, size)
+            layered = np.where(layer == 0, element[again], mix(element[again] + layer.astype(np.uint64) * _G))
+            row, token = np.concatenate([doc, doc[again]]), np.concatenate([element, layered])
+            view, sizes = np.repeat([0, 1], [doc.size, again.size]), np.concatenate([n[doc], total[doc[again]]])
+            at = pa.array(row + lo)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("content").take(at), batch.column("label").take(at), pa.array(view, pa.int32()), pa.array(sizes, pa.int64()), pa.array(token.view(np.int64))],
+                ["content", "label", "view", "size", "token"],
+            )
+
+
+def fetched(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
+    """wanted (content, ..) with a text of each content.
+
+    By shuffle at every size: what is wanted grows with the input, so a plan that
+    sends it to all executors would not last.
+    """
+    ends = wanted.join(known.select("content", F.col("first.doc_id").alias("__id"), F.col("first.version").alias("__version")), "content")
+    full = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("v"), "text").hint("merge")
+    found = full.join(ends, F.col("d").eqNullSafe(F.col("__id")) & (F.col("v") == F.col("__version")))
+    return found.select(*wanted.columns, "text").dropDuplicates(["content"])
 
 
-def further(scratch: Scratch, known: DataFrame, rest: DataFrame, links: DataFrame) -> DataFrame:
-    """a, b: the pairs of a bucket that neither pivots nor links have settled, but for those that agree in less than HOPELESS."""
+def further(scratch: Scratch, docs: DataFrame, known: DataFrame, rest: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(a, b: all pairs that can be near of the texts of a bucket that neither pivots nor links have settled; content, text of those); None if there are no such texts."""
     labels = components(scratch, links)
     own = scratch.keep(rest.join(labels, F.col("content") == F.col("node"), "left").select("bucket", "content", F.coalesce("label", "content").alias("label")))
-    split = scratch.keep(own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("bucket", "n"))
-    own = scratch.keep(own.join(split, "bucket"))
-    small = own.where(F.col("n") <= FEW).select("bucket", "content", "label")
-    pairs = across(small, small, "bucket", F.col("x") < F.col("y"))
-    many = scratch.keep(own.where(F.col("n") > FEW).select("content", "label").distinct())
-    if not many.limit(1).count():
-        return pairs
-    k = BANDS * ROWS
-    least = math.ceil(HOPELESS * k)
-    cut = F.explode(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.xxhash64(i, F.col("sig").substr(i * 4 + 1, F.lit(4)))))
-    each = known.select("content", F.posexplode(F.array_compact(F.array("sig", "plain"))).alias("kind", "sig"))
-    tokens = scratch.keep(many.join(each, "content").select("content", "kind", "label", cut.alias("token")))
-    common = scratch.keep(tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("token", "n"))
-    # coordinates of one component alone come first in the order and make no pairs; of the others a text needs ``least``,
-    # and a pair that agrees in so many agrees in one of those before the last ``least - 1``
-    held = scratch.keep(tokens.join(common, "token"))
-    ordered = held.groupBy("content", "kind", "label").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("all")).where(F.size("all") >= least)
-    first = scratch.keep(ordered.select("content", "label", F.explode(F.expr(f"slice(all, 1, size(all) - {least - 1})")).alias("at")).select("content", "label", F.col("at.token").alias("token")).distinct())
-    sizes = first.groupBy("token", "label").count().groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("count", "label")).getField("label").alias("most")).where("labels > 1")
-    first = scratch.keep(first.join(scratch.keep(sizes.select("token", "most")), "token"))
-    # the largest component of a coordinate only meets the others, so what is settled makes no work
-    wide = across(first.where("label != most"), first, "token", (F.col("label_y") == F.col("most")) | (F.col("x") < F.col("y")))
-    return pairs.union(wide).distinct()
-
-
-def linked(scratch: Scratch, docs: DataFrame, known: DataFrame, pairs: DataFrame, links: DataFrame | None = None) -> DataFrame:
-    """a, b: links, and those of the pairs that are near; pairs within a component are not compared exactly."""
+    split = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
+    left = scratch.keep(own.join(split, "bucket").select("content", "label").distinct())
+    if not left.limit(1).count():
+        return None
+    texts = scratch.keep(fetched(docs, known, left))
+    tokens = scratch.keep(texts.mapInArrow(elements, "content binary, label binary, view int, size long, token long"))
+    scratch.discard(own)
+    # a shingle of one component makes no pairs; those shingles come first in the order, then the rarer of the others
+    common = tokens.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo != hi").select("token", "n")
+    view = Window.partitionBy("content", "view")
+    held = tokens.join(common, "token").withColumns({"rank": F.row_number().over(view.orderBy("n", "token")), "held": F.count("*").over(view)})
+    place = F.col("size") - F.col("held") + F.col("rank") - 1
+    prefix = scratch.keep(held.select("content", "label", "size", "token", place.alias("place")).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * THRESHOLD - 1e-9)))
+    scratch.discard(tokens)
+    x, y = (prefix.select("token", *[F.col(c).alias(f"{c}_{side}") for c in ("content", "label", "size", "place")]) for side in "xy")
+    room = F.least(F.col("size_x") - F.col("place_x"), F.col("size_y") - F.col("place_y")) * (1 + THRESHOLD) >= (F.col("size_x") + F.col("size_y")) * THRESHOLD - 1e-6
+    alike = F.least("size_x", "size_y") >= F.greatest("size_x", "size_y") * THRESHOLD - 1e-6
+    met = x.join(y, (x.token == y.token) & (F.col("content_x") < F.col("content_y")) & (F.col("label_x") != F.col("label_y")) & alike & room)
+    return scratch.keep(met.select(F.col("content_x").alias("a"), F.col("content_y").alias("b")).distinct()), texts.select("content", "text")
+
+
+def linked(scratch: Scratch, docs: DataFrame, known: DataFrame, pairs: DataFrame, links: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """a, b: links, and those of the pairs that are near; pairs within a component are not compared exactly.
+
+    texts: content, text of the pairs' texts, if they are at hand.
+    """
     k = BANDS * ROWS
     left, right = (known.select(F.col("content").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("plain").alias(f"plain_{c}")) for c in "ab")
     agree = agreement(F.col("sig_a"), F.col("sig_b"), k)
@@ -261,14 +296,12 @@ def linked(scratch: Scratch, docs: DataFrame, known: DataFrame, pairs: DataFrame
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
     open_pairs = open_pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumns({f"label_{c}": F.coalesce(f"label_{c}", c) for c in "ab"}).where("label_a != label_b")
     open_pairs = scratch.keep(open_pairs.select("a", "b"))
-    first = known.select("content", F.col("first.doc_id").alias("doc_id"), F.col("first.version").alias("version"))
-    ends = scratch.keep(open_pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct().join(first, "content"))
-    # by shuffle at every size: ``ends`` grows with the input, so a plan that sends it to all executors would not last
-    full = docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("v"), "text").hint("merge")
-    texts = scratch.keep(full.join(ends, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("v") == F.col("version"))).select("content", "text").dropDuplicates(["content"]))
+    if texts is None:
+        texts = scratch.keep(fetched(docs, known, open_pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()))
     both = open_pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
-    near = both.mapInArrow(compared, "a binary, b binary")
-    return scratch.keep(near.union(sure))
+    found = scratch.keep(both.mapInArrow(compared, "a binary, b binary").union(sure))
+    scratch.discard(judged, open_pairs, texts)
+    return found
 
 
 def classes(docs: DataFrame) -> DataFrame:
@@ -279,13 +312,13 @@ def classes(docs: DataFrame) -> DataFrame:
     pairs, rest = (scratch.keep(x) for x in candidates(scratch, known))
     links = linked(scratch, docs, known, pairs)
     scratch.drop(rows, known, rest, links)
-    pairs = scratch.keep(further(scratch, known, rest, links))
-    if pairs.limit(1).count():
-        links = linked(scratch, docs, known, pairs, links)
+    more = further(scratch, docs, known, rest, links)
+    if more is not None:
+        links = linked(scratch, docs, known, more[0], links, more[1])
     scratch.drop(rows, known, links)
     labels = components(scratch, links)
     named = scratch.keep(known.select("content", "first").join(labels, F.col("content") == F.col("node"), "left").select("content", F.coalesce("label", "content").alias("label"), "first"))
-    sizes = scratch.keep(rows.groupBy("content").count())
+    sizes = rows.groupBy("content").count()
     whole = scratch.keep(named.join(sizes, "content").groupBy("label").agg(F.min("first").getField("doc_id").alias("class_id"), F.sum("count").alias("class_rows")))
     at = scratch.keep(named.join(whole, "label").select("content", "label", "class_id", "class_rows"))
     out = scratch.keep(rows.select("doc_id", "version", "content").join(at, "content").select("doc_id", "version", "label", "class_id", "class_rows"))

@@ -45,12 +45,12 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Ranges of whole rows of about ``most`` bytes; a longer text is a range of its own."""
+def chunks(offsets: np.ndarray, most: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of whole rows, of about ``most`` bytes and at most ``rows`` rows; a longer text is a range of its own."""
     at, n = 0, len(offsets) - 1
     while at < n:
         to = int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1
-        to = min(max(to, at + 1), n)
+        to = min(max(to, at + 1), n, at + (rows or n))
         yield at, to
         at = to
 
@@ -101,8 +101,8 @@ def span_hashes(low: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     return out
 
 
-def scanned(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Words]]:
+def scanned(column: pa.Array, most: int = CHUNK_BYTES, rows: int | None = None) -> Iterator[tuple[int, int, Words]]:
     """(first row, end row, words) of the column, chunk by chunk."""
     data, offsets = utf8(column)
-    for lo, hi in chunks(offsets, most):
+    for lo, hi in chunks(offsets, most, rows):
         yield lo, hi, Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
