@@ -7,22 +7,33 @@ judge and generators are hashed stand-ins unless an endpoint is given.
 from __future__ import annotations
 
 import argparse
+import importlib
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stepgauge.functions.vectors import hashing_encoder
+from stepgauge.functions.vectors import Encoder, hashing_encoder
+from stepgauge.functions.text import path_safe
 from stepgauge.operators import generate, judge
 from stepgauge.plans import calibration, conversion, evaluation, inventory, selecting
 from stepgauge.sources import config, files, proofs, sinks, trees
 from stepgauge.sources.config import chosen, lookup, names
+from stepgauge.sources.scratch import kept
 
 
 def session() -> SparkSession:
     return SparkSession.builder.appName("stepgauge").config("spark.ui.showConsoleProgress", "false").getOrCreate()
 
 
+def encoder(a: argparse.Namespace) -> Encoder:
+    """The encoder that --encoder names as module:callable, called without arguments; else the hashed stand-in."""
+    if not a.encoder:
+        return hashing_encoder()
+    module, _, name = a.encoder.partition(":")
+    return getattr(importlib.import_module(module), name)()
+
+
 def run_import(spark: SparkSession, a: argparse.Namespace) -> int:
     print(sinks.export(files.downloaded_tex(spark, a.source), a.destination))
     return 0
@@ -67,7 +78,7 @@ def pair_templates(spark: SparkSession, root: str) -> DataFrame:
 
 
 def run_pairs(spark: SparkSession, a: argparse.Namespace) -> int:
-    result = calibration.calibrate(pair_templates(spark, a.input), hashing_encoder(), a.threshold, a.threshold_step)
+    result = calibration.calibrate(pair_templates(spark, a.input), encoder(a), a.threshold, a.threshold_step)
     for name, rows in result.items():
         sinks.write_csv(rows, f"{a.output_dir}/formulation_pair_{name}.csv", rows.columns, 1)
     return 0
@@ -75,7 +86,7 @@ def run_pairs(spark: SparkSession, a: argparse.Namespace) -> int:
 
 def run_matrix(spark: SparkSession, a: argparse.Namespace) -> int:
     gt, predictions = (trees.parsed(r) for r in (files.ground_truth(spark, a.ground_truth), files.predictions(spark, a.predictions)))
-    for name, rows in evaluation.atom_matrices(gt, predictions, hashing_encoder(), a.threshold).items():
+    for name, rows in evaluation.atom_matrices(gt, predictions, encoder(a), a.threshold).items():
         sinks.write_csv(rows, f"{a.output_dir}/{name}.csv", rows.columns)
     return 0
 
@@ -98,12 +109,13 @@ def run_evaluate(spark: SparkSession, a: argparse.Namespace) -> int:
         at = spark._jvm.org.apache.hadoop.fs.Path(a.judge_cache)
         known = spark.read.schema(judge.DECISION).parquet(a.judge_cache) if at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at) else None
     band = config.judge_band(s, F.col("language"), a.judge_low_threshold, a.judge_high_threshold)
-    result = evaluation.evaluate(trees.parsed(predictions), gt, hashing_encoder(), limit, {k: names(s, f"expected.{k}") for k in ("models", "languages", "variations", "strategies")}, second, band, str(lookup(s, "prompts.judge", "")), a.judge_model, known)
+    result = evaluation.evaluate(trees.parsed(predictions), gt, encoder(a), limit, {k: names(s, f"expected.{k}") for k in ("models", "languages", "variations", "strategies")}, second, band, str(lookup(s, "prompts.judge", "")), a.judge_model, known)
     keys = ["language", "variation", "call1_model"]
     result["by_model"] = evaluation.with_coverage(result["by_model"], result["coverage"], keys)
     result["by_model_strategy"] = evaluation.with_coverage(result["by_model_strategy"], result["coverage"], [*keys, "strategy"])
     if a.judge_cache and judged:
         result["decisions"].where("not cache_hit").drop("cache_hit").write.mode("append").parquet(a.judge_cache)
+    result = {name: kept(rows, name) for name, rows in result.items() if name != "decisions"}  # each group's reports are parts of these
     for g in result["summary"].select("language", "variation").distinct().collect():
         print(sinks.write_group(result, root, g.language, g.variation, judged))
     return 0 if result["summary"].where("status <> 'ok'").isEmpty() else 1
@@ -116,7 +128,7 @@ def run_select(spark: SparkSession, a: argparse.Namespace) -> int:
     candidates = files.candidates(spark, lookup(s, "input.call2_root"), wanted("call2_models"))
     result = selecting.select(answers, candidates, config.weights(s), lookup(s, "ranking.tie_margin", config.TIE_MARGIN))
     root = lookup(s, "output.root_directory")
-    known = [r.target for r in result["selections"].select("target").toLocalIterator()] if lookup(s, "output.synchronize_outputs", False) else []
+    known = result["selections"].select("target").where(F.lit(bool(lookup(s, "output.synchronize_outputs", False))))
     count = sinks.synchronized(selecting.chosen_texts(result["selections"], candidates), root, known, lookup(s, "output.overwrite_existing", False))
     summary = result["summary"].first().asDict() | count
     rows = [r.asDict() for r in result["selections"].orderBy("target").toLocalIterator()]
@@ -130,14 +142,24 @@ def run_generate(spark: SparkSession, a: argparse.Namespace) -> int:
     filters = lambda name: names(s, f"input.filters.{name}")
     inputs = trees.parsed(files.exercises(spark, lookup(s, "input.root_directory"), filters("languages")), answers=True)
     models = [str(m.get("id") or m.get("name")) for m in config.enabled_models(s)]
-    rows = conversion.answer_jobs(inputs, filters("variations") or ["baseline"], filters("prompt_types") or list(generate_strategies()), models)
-    call = generate.retried(generate.http_generator(a.endpoint, a.timeout), lookup(s, "generation.max_retries", 1), lookup(s, "generation.retry_delay_seconds", 0))
-    good, failed = conversion.run_answers(rows, call, lookup(s, "prompts.languages"))
-    keys = ["pc", "q", "model", "language", "variation", "strategy"]
+    templates = [str(lookup(s, f"output.{k}_template", d)) for k, d in (("directory", "{mode}/{model}/{language}/{variation}"), ("filename", "pc{pc}_q{exercise}{suffix}"))]
+    every = kept(conversion.answer_jobs(inputs, filters("variations") or ["baseline"], filters("prompt_types") or list(generate_strategies()), models, *templates, names(s, "output_modes")), "jobs")
     root = lookup(s, "output.root_directory", "outputs/call1")
-    count = sinks.export(good.join(rows.select(*keys, "target"), keys), root, overwrite=lookup(s, "output.overwrite_existing", False))
+    there = sinks.existing(spark, root) if not lookup(s, "output.overwrite_existing", False) else spark.createDataFrame([], "target string")
+    there = kept(every.select("target").join(there, "target", "left_semi"), "there")
+    rows = conversion.without_done(every, there)
+    call = generate.retried(generate.http_generator(a.endpoint, a.timeout), lookup(s, "execution.max_retries", 1), lookup(s, "execution.retry_delay_seconds", 2))
+    good, failed = conversion.run_answers(rows, call, lookup(s, "prompts.languages"))
+    keys = ["pc", "q", "model", "language", "variation", "strategy", "mode"]
+    target = every.select(*keys, "target")
+    sinks.export(good.join(target, keys), root)
+    failed = failed.join(target, keys)
+    count = conversion.counted(every, there, failed)
     wrong = [r.asDict() for r in failed.toLocalIterator()]
-    sinks.write_error_report(f"{root}/error_files.yaml", count | {"failed": len(wrong)}, wrong)
+    for mode in names(s, "output_modes") or ["plain_text"]:
+        own = [w for w in wrong if w["mode"] == mode]
+        sinks.write_error_report(f"{root}/{mode}/error_files.yaml", count["by_mode"].get(mode, {}), own)
+    print({k: count[k] for k in ("jobs", "written", "skipped", "failed")})
     return 1 if wrong else 0
 
 
@@ -153,12 +175,18 @@ def run_convert(spark: SparkSession, a: argparse.Namespace) -> int:
     wanted = lambda name: names(s, f"input.filters.{name}")
     answers = files.answers(spark, lookup(s, "input.root_directory"), wanted("models"), wanted("languages"), wanted("variations"), wanted("prompt_types"))
     rows = conversion.conversion_jobs(answers.drop("path"), [str(m.get("id") or m.get("name")) for m in config.enabled_models(s)])
-    good, failed = conversion.run_conversions(rows, generate.http_generator(a.endpoint, a.timeout, empty_is_error=False), lookup(s, "prompts.languages"), lookup(s, "generation.repair_attempts", 2))
-    good = sinks.target("{call1_model}/{call2_model}/{language}/{variation}/{exercise}_{strategy_abbreviation}.yaml", good)
+    path = "{call1_model}/{call2_model}/{language}/{variation}/{exercise}_{strategy_abbreviation}.yaml"
+    every = kept(sinks.target(path, rows, call2_model=path_safe(F.col("model"))).withColumn("mode", F.lit("conversion")), "jobs")
     root = lookup(s, "output.root_directory", "outputs/call2")
-    count = sinks.export(good, root, overwrite=lookup(s, "output.overwrite_existing", False))
+    there = sinks.existing(spark, root) if not lookup(s, "output.overwrite_existing", False) else spark.createDataFrame([], "target string")
+    there = kept(every.select("target").join(there, "target", "left_semi"), "there")
+    todo = conversion.without_done(every, there)
+    good, failed = conversion.run_conversions(todo, generate.http_generator(a.endpoint, a.timeout, empty_is_error=False), lookup(s, "prompts.languages"), lookup(s, "generation.repair_attempts", 2))
+    sinks.export(good, root)
+    count = conversion.counted(every, there, failed)
     wrong = [r.asDict() for r in failed.drop("text").toLocalIterator()]
-    sinks.write_error_report(f"{root}/error_files.yaml", count | {"failed": len(wrong)}, wrong)
+    sinks.write_error_report(f"{root}/error_files.yaml", {k: count[k] for k in ("jobs", "written", "skipped", "failed")}, wrong)
+    print({k: count[k] for k in ("jobs", "written", "skipped", "failed")})
     return 1 if wrong else 0
 
 
@@ -173,16 +201,17 @@ def parser() -> argparse.ArgumentParser:
             sub.add_argument(*flags.split(), **kind)
 
     need, many = {"required": True}, {"action": "append"}
+    own_encoder = ("--encoder", {"help": "module:callable that gives an encoder; without it a hashed stand-in"})
     command("import", run_import, ("--source", need), ("--destination", {"default": "data/raw_tex"}))
     command("parse", run_parse, ("-i --input", need), ("-o --output", need))
     command("extract", run_extract, ("--input", need), ("--output", need), ("--language", many))
     command("seed", run_seed, ("--input-root", need), ("--output-root", need), ("--language", many | need), ("--concept-count", {"type": int, "default": 12}), ("--overwrite", {"action": "store_true"}), ("--reselect", {"action": "store_true"}))
-    command("pairs", run_pairs, ("--input", need), ("--output-dir", need), ("--threshold", {"type": float}), ("--threshold-step", {"type": float, "default": 0.01}))
-    command("matrix", run_matrix, ("--ground-truth", need), ("--predictions", need), ("--output-dir", need), ("--threshold", {"type": float, "default": config.MATRIX_THRESHOLD}))
+    command("pairs", run_pairs, ("--input", need), ("--output-dir", need), ("--threshold", {"type": float}), ("--threshold-step", {"type": float, "default": 0.01}), own_encoder)
+    command("matrix", run_matrix, ("--ground-truth", need), ("--predictions", need), ("--output-dir", need), ("--threshold", {"type": float, "default": config.MATRIX_THRESHOLD}), own_encoder)
     number = {"type": float}
     command(
         "evaluate", run_evaluate, ("--config", {}), ("--predictions", {}), ("--ground-truth", {}), ("--output", {}), ("--threshold", number), ("--judge-model", {"default": "judge"}), ("--judge-endpoint", {}),
-        ("--judge-timeout", {"type": float, "default": 120}), ("--judge-temperature", {"type": float, "default": 0.0}), ("--judge-low-threshold", number), ("--judge-high-threshold", number), ("--judge-cache", {}),
+        ("--judge-timeout", {"type": float, "default": 120}), ("--judge-temperature", {"type": float, "default": 0.0}), ("--judge-low-threshold", number), ("--judge-high-threshold", number), ("--judge-cache", {}), own_encoder,
     )
     command("select", run_select, ("--config", need))
     for name, run in (("generate", run_generate), ("convert", run_convert)):

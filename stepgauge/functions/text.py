@@ -17,14 +17,16 @@ from stepgauge.functions.rewrite import BLANK, BLANKS, Rewrite, STRIP, collapsed
 TAG = r"%@(?:CONTEXT|ASSUMPTION_GLOBAL|ASSUMPTION(?:_END)?|QUESTION(?:_END)?|ATOM(?:_END)?|PRECOND(?:_END)?|ARGUMENT(?:_END|:CALCUL)?|OUTCOME(?:_END)?|STRENGTH|LIST_START|LIST_END|SET_START|SET_END)\b"
 
 # Words of English and French that carry no content.
-STOPWORDS = (
-    "a an and are as at be by for from has if in is it of on or that the then this to we with "
-    "un une et est sont au aux avec ce ces cette dans de des du en la le les par pour que qui sur"
-).split()
+STOPWORDS = [
+    "a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "if", "in", "is", "it", "of", "on", "or", "that", "the", "then", "this",
+    "to", "we", "with", "un", "une", "et", "est", "sont", "au", "aux", "avec", "ce", "ces", "cette", "dans", "de", "des", "du", "en", "la", "le",
+    "les", "par", "pour", "que", "qui", "sur",
+]
 
 # Prompt protocols and their abbreviations.
 STRATEGIES = {"strictly_sequential": "seq", "prompt_accumulation": "acc", "ground_truth_forcing": "gtf", "self_history": "self"}
 
+# What these chains take away, in this order, and the patterns of formulas and numbers below.
 TAGS_JOINED = Rewrite((r"%\s+@", "%@"))
 LATEX = Rewrite(
     (r"(?s)\\titledquestion\{(.*?)\}", "$1"),

@@ -45,8 +45,11 @@ def targets_matrix(targets: DataFrame, predicted: DataFrame, keys: list[str], th
 
 def best(rows: DataFrame, keys: list[str], item: str = "gt_atom_index", candidate: str = "model_atom_index", score: str = "score") -> DataFrame:
     """The row with the highest score of each item; of equal ones that with the lowest candidate."""
-    order = Window.partitionBy(*keys, item).orderBy(F.col(score).desc(), F.col(candidate).asc_nulls_last())
-    return rows.withColumn("__rank", F.row_number().over(order)).where("__rank = 1").drop("__rank")
+    # a largest struct combines before the shuffle; a rank would move and sort all rows
+    place = F.struct(F.col(score).alias("__score"), F.col(candidate).isNotNull().alias("__named"), (-F.col(candidate)).alias("__last"))
+    rest = [c for c in rows.columns if c not in (*keys, item)]
+    found = rows.groupBy(*keys, item).agg(F.max_by(F.struct(*rest), place).alias("__row"))
+    return found.select(*keys, item, "__row.*").select(*rows.columns)
 
 
 def best_matches(rows: DataFrame, keys: list[str], everything: DataFrame | None = None) -> DataFrame:
@@ -67,8 +70,9 @@ SOURCES = ["global_assumption", "local_assumption", "previous_outcome", "gt_prec
 
 def first_seen(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Of rows with equal keys the first in an order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+    rest = [c for c in rows.columns if c not in keys]
+    found = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("__row"))
+    return found.select(*keys, "__row.*").select(*rows.columns)
 
 
 def required(parts: dict[str, DataFrame], keys: list[str], text: str = "text", place: str = "place") -> DataFrame:

@@ -84,7 +84,7 @@ def answers(jobs: DataFrame, generate: Generator, prompts: dict[str, dict]) -> D
 
     A job whose generator fails for good has one row with its error and no answer.
     """
-    keys = ["pc", "q", "model", "language", "variation", "strategy"]
+    keys = ["pc", "q", "model", "language", "variation", "strategy", *(["mode"] if "mode" in jobs.columns else [])]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

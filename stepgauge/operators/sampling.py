@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stepgauge.functions.ranking import numbered
+from stepgauge.operators.align import first_seen
+from stepgauge.sources.scratch import kept
 
 # Statement fields and pair labels, in order.
 FIELDS = ["assumption_global", "assumptions", "preconditions", "arguments", "outcomes"]
@@ -16,8 +18,7 @@ VARIANTS = 2
 def distinct_statements(rows: DataFrame, key: list[Column], order: str) -> DataFrame:
     """Of rows with equal keys the first; blank texts go."""
     rows = rows.where(F.col("text").rlike(r"\S")).withColumn("__key", F.struct(*[k.alias(f"k{i}") for i, k in enumerate(key)]))
-    w = Window.partitionBy("__key").orderBy(order)
-    return rows.withColumn("__rank", F.row_number().over(w)).where("__rank = 1").drop("__rank")
+    return first_seen(rows, ["__key"], [F.col(order)])
 
 
 def round_robin(rows: DataFrame, field: str, order: str, count: int, fields: list[str] | None = None) -> DataFrame:
@@ -38,16 +39,16 @@ def round_robin(rows: DataFrame, field: str, order: str, count: int, fields: lis
 def balanced(rows: DataFrame, key: list[Column], order: str, count: int, retained: DataFrame | None = None) -> DataFrame:
     """A balanced sample: retained statements (with ``__key`` and ``at``) that are still there first, then field by field; an error if short."""
     rows = distinct_statements(rows, key, order)
-    kept = None
     if retained is not None:
         first = retained.groupBy("__key").agg(F.min("at").alias("at"))
-        kept = rows.join(first, "__key").orderBy("at").limit(count)
-        kept = kept.withColumn("pick", F.row_number().over(Window.orderBy("at"))).drop("at")
-        n = kept.count()
-        more = round_robin(rows.join(kept.select("__key"), "__key", "left_anti"), "field", order, count - n, FIELDS) if n < count else None
-        out = kept if more is None else kept.unionByName(more.withColumn("pick", F.col("pick") + n))
+        old = rows.join(first, "__key").orderBy("at").limit(count)
+        old = kept(old.withColumn("pick", F.row_number().over(Window.orderBy("at"))).drop("at"), "retained")
+        n = old.count()
+        more = round_robin(rows.join(old.select("__key"), "__key", "left_anti"), "field", order, count - n, FIELDS) if n < count else None
+        out = old if more is None else old.unionByName(more.withColumn("pick", F.col("pick") + n))
     else:
         out = round_robin(rows, "field", order, count, FIELDS)
+    out = kept(out, "sample")  # ``count`` rows at most, which are counted and used
     have = out.count()
     if have < count:
         raise ValueError(f"{count} distinct statements are wanted, but there are {have}")

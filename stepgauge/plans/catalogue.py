@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -487,7 +488,7 @@ def against_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", F.split("text", "\n").alias("l"), (F.col("doc_id") % 40).alias("item_id"))
     none = F.expr("cast(array() as array<string>)")
     atom = F.struct(none.alias("preconditions"), F.slice("l", 1, 1).alias("arguments"), F.slice("l", 2, 1_000_000).alias("outcomes"))
-    return docs.join(F.broadcast(items), "item_id").withColumn("atoms", F.array(atom))
+    return docs.join(items, "item_id").withColumn("atoms", F.array(atom))
 
 
 _AGAINST = f"a AS (SELECT doc_id, lang, d.source, d.text, n_chars, b.text AS source_text, {_tokens('b.text')} AS s, {_tokens('d.text')} AS c FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % 40)"
@@ -557,7 +558,7 @@ def formula_fidelity_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     fidelity = lambda source: rounded(selection.formula_fidelity(F.col(source), F.col("statements")))
     items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source_text"))
     rows = table(spark, sf_dir, "documents").withColumn("item_id", F.col("doc_id") % 40).withColumn("statements", F.split(F.coalesce("text", F.lit("")), "\n"))
-    rows = rows.join(F.broadcast(items), "item_id", "left").withColumn("own", F.coalesce("text", F.lit(""))).withColumn("item", F.coalesce("source_text", F.lit("")))
+    rows = rows.join(items, "item_id", "left").withColumn("own", F.coalesce("text", F.lit(""))).withColumn("item", F.coalesce("source_text", F.lit("")))
     return rows.select("doc_id", fidelity("own").alias("own_fidelity"), fidelity("item").alias("item_fidelity"))
 
 
@@ -670,9 +671,9 @@ def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", answer.alias("answer"))
 
 
-@query("SELECT 'out/' || lang || '/' || source || '_' || (doc_id // 2) || '.yaml' AS target, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) > 1")
+@query("SELECT 'out/' || lang || '/' || source || '_' || (doc_id % 3) || '.yaml' AS target, count(*) AS count FROM documents GROUP BY 1 HAVING count(*) > 1")
 def output_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("lang", "source", F.expr("doc_id div 2").alias("n"))
+    rows = table(spark, sf_dir, "documents").select("lang", "source", (F.col("doc_id") % 3).alias("n"))
     return sinks.collisions(sinks.target("out/{lang}/{source}_{n}.yaml", rows))
 
 
@@ -754,7 +755,7 @@ def repair_partial_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 def flatten_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regions, nations and customers as subquestions, a list and sets."""
     step = lambda kind, child: F.struct(F.lit(kind).alias("kind"), child.cast("int").alias("child"))
-    rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     steps = F.array(step("list", F.col("n_nationkey") + 1), step("set", F.col("c_custkey")))
     w = Window.partitionBy("n_regionkey").orderBy("n_nationkey", "c_custkey")
     return rows.select("c_custkey", trees.path(F.col("n_regionkey") + 1, steps, "tuple").alias("path"), F.row_number().over(w).alias("atom_index"))
@@ -780,7 +781,12 @@ def exercise_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inventory.inventory(rows).select("source_file", "subquestion_index", "field", "atom_path", "text")
 
 
-@query()
+_OUTCOME = _CLEAN.format("regexp_replace(x, '(^|[^\\\\])%.*$', '\\1')")
+
+
+@query(rf"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), o AS (SELECT doc_id, i, regexp_replace({_OUTCOME}, '^which directly gives\s+', '') AS y FROM l)
+SELECT doc_id, 1 AS subquestion_index, CAST(i AS INT) AS atom_index, 'subquestions[1].atoms/list[' || i || ']' AS path,
+CASE WHEN y = '' THEN [] ELSE [CASE WHEN regexp_matches(y, '^(?:\\\(|So |The process is therefore|This always gives)') THEN regexp_replace(y, '[.,](\$)?$', '\1') ELSE y END] END AS outcomes FROM o""")
 def proof_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's lines as annotated atoms in a list, parsed and flattened."""
     atom = lambda x, i: F.concat(F.lit("%@ATOM\n%@PRECOND\n"), F.col("source"), F.lit("\n%@ARGUMENT\n"), F.col("lang"), F.lit(" "), i, F.lit("\n%@OUTCOME\n"), x, F.lit("\n%@ATOM_END"))
@@ -791,9 +797,14 @@ def proof_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "subquestion_index", "atom_index", trees.path(F.col("subquestion_index"), F.col("steps")).alias("path"), "outcomes")
 
 
-@query("SELECT text, 64 AS dim FROM (SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL)")
+@query("SELECT text, CAST(length(text) % 16 AS INT) AS direction, 1.0::DOUBLE AS norm FROM (SELECT DISTINCT text FROM conversations WHERE text IS NOT NULL)")
 def encode_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encoded(table(spark, sf_dir, "conversations"), hashing_encoder(64)).select("text", F.size("vector").alias("dim"))
+    """Each distinct text once, by an encoder of 16 directions."""
+    def by_length(texts: list[str]) -> np.ndarray:
+        return np.eye(16, dtype=np.float32)[[len(t) % 16 for t in texts]]
+
+    rows = encoded(table(spark, sf_dir, "conversations"), by_length)
+    return rows.select("text", (F.array_position(F.col("vector").cast("array<double>"), 1.0) - 1).cast("int").alias("direction"), dot(F.col("vector"), F.col("vector")).cast("double").alias("norm"))
 
 
 @query()

@@ -108,7 +108,7 @@ def evaluate(
         matrix = judge.keyed(matrix, template, judge_model)
         known = known_decisions if known_decisions is not None else predictions.sparkSession.createDataFrame([], judge.DECISION)
         asking = matrix.where(judge.in_band(F.col("score"), *band, F.col("model_atom_index")))
-        fresh = judge.decide(asking, known, template, second)
+        fresh = kept(judge.decide(asking, known, template, second), "decisions")  # the matrix and the cache have the same answers
         decisions = known.select("cache_key", "label", "confidence", "reason", "raw_response").join(asking.select("cache_key").distinct(), "cache_key", "left_semi").withColumn("cache_hit", F.lit(True)).unionByName(fresh.withColumn("cache_hit", F.lit(False)))
         matrix = judge.applied(matrix, decisions, *band)
     matrix = kept(matrix, "matrix")  # six tables are made from it

@@ -150,10 +150,12 @@ def ground_truth(spark: SparkSession, root: str) -> DataFrame:
 # -- calibration
 
 def statement_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A statement inventory, all columns as text, with its row numbers as ``pos``."""
-    schema = ", ".join(f"{c} string" for c in STATEMENT_COLUMNS)
-    rows = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\0").csv(path)
-    return rows.withColumn("pos", F.monotonically_increasing_id())
+    """A statement inventory, all columns as text, with its row numbers as ``pos``.
+
+    Columns go by the header's names, as a language's own folder has no column for it; one that isn't there is null, an empty cell is the empty text.
+    """
+    rows = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("emptyValue", "").option("nullValue", "\0").csv(path)
+    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) if c in rows.columns else F.lit(None).cast("string").alias(c) for c in STATEMENT_COLUMNS], F.monotonically_increasing_id().alias("pos"))
 
 
 def pair_files(spark: SparkSession, root: str) -> DataFrame:

@@ -6,6 +6,7 @@ more than the tasks they ran.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,9 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where there is none."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder only where there is none and all runs in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='stepgauge-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")

@@ -1,21 +1,29 @@
 """Writers.
 
-Tables are written by Spark, whose commit leaves whole files or none.  Reports
-and YAML files for people are small; they are written one at a time from a
-stream of rows, under a temporary name and then renamed.
+Tables are written by Spark, whose commit leaves whole files or none.  Files of
+one row each are written by the executors that hold the rows, to a store that
+all of them reach, under a temporary name and then renamed; a task that runs
+again writes the same file.  Reports for people are small and written by the
+driver in the same way.
 """
 
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable
+import re
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs as arrow_fs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepgauge.functions import text as T
 from stepgauge.schemas import BEST_COLUMNS, COVERAGE_COLUMNS, MATRIX_COLUMNS, ORDER_COLUMNS, STATEMENT_COLUMNS
 from stepgauge.sources.config import formatted
+from stepgauge.sources.scratch import kept
 from stepgauge.sources.trees import dumped
 
 
@@ -63,24 +71,72 @@ def write_yaml(path: str, data: object, overwrite: bool = True) -> bool:
     return write_text(path, dumped(data), overwrite)
 
 
+def located(root: str) -> str:
+    """A folder's address for executors: as given if it has a scheme, else the absolute path."""
+    return root if re.match(r"\w+:/", root) else os.path.abspath(root)
+
+
+def exported(rows: DataFrame, root: str, target: str = "target", text: str = "text", overwrite: bool = True) -> DataFrame:
+    """A file for each row, by its target path below root; target and status ('written', or 'skipped' if it was there)."""
+    folder = located(root)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = arrow_fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            status = []
+            for name, body in zip(batch.column("target").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                path = f"{base}/{name}"
+                if not overwrite and store.get_file_info(path).type != arrow_fs.FileType.NotFound:
+                    status.append("skipped")
+                    continue
+                parent, _, last = path.rpartition("/")
+                store.create_dir(parent, recursive=True)
+                temporary = f"{parent}/.{last}.{uuid.uuid4().hex}.tmp"
+                with store.open_output_stream(temporary) as out:
+                    out.write((body or "").encode())
+                store.move(temporary, path)
+                status.append("written")
+            yield pa.RecordBatch.from_arrays([batch.column("target"), pa.array(status, pa.string())], ["target", "status"])
+
+    return kept(rows.select(F.col(target).alias("target"), F.col(text).alias("text")).mapInArrow(run, "target string, status string"), "exported")
+
+
 def export(rows: DataFrame, root: str, target: str = "target", text: str = "text", overwrite: bool = True) -> dict[str, int]:
-    """A file for each row, by its target path; counts of those written and those left as they are.
+    """``exported``; counts of those written and those left as they are."""
+    return {"written": 0, "skipped": 0} | {r[0]: r[1] for r in exported(rows, root, target, text, overwrite).groupBy("status").count().collect()}
+
+
+def existing(spark: SparkSession, root: str) -> DataFrame:
+    """target: the files below root, by their path below it; none if there is no such folder."""
+    base = re.sub(r"^\w+:/*", "/", located(root).rstrip("/"))
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    except AnalysisException:
+        return spark.createDataFrame([], "target string")
+    at = F.regexp_replace("path", r"^\w+:/*", "/")
+    return files.select(F.substring(at, F.lit(len(base) + 2), F.length(at)).alias("target"))
 
-    Rows come to the driver one partition at a time.
-    """
-    count = {"written": 0, "skipped": 0}
-    for row in rows.select(target, text).toLocalIterator():
-        count["written" if write_text(os.path.join(root, row[0]), row[1], overwrite) else "skipped"] += 1
-    return count
 
+def removed(targets: DataFrame, root: str) -> int:
+    """How many of the target paths there were; they are deleted."""
+    folder = located(root)
 
-def synchronized(rows: DataFrame, root: str, known: Iterable[str], overwrite: bool = True) -> dict[str, int]:
-    """``export``, after which known targets without a row are deleted."""
-    count, kept = export(rows, root, overwrite=overwrite), {r[0] for r in rows.select("target").toLocalIterator()}
-    stale = [p for p in known if p not in kept and os.path.exists(os.path.join(root, p))]
-    for path in stale:
-        os.remove(os.path.join(root, path))
-    return count | {"removed": len(stale)}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = arrow_fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            gone = [n for n in batch.column("target").to_pylist() if store.get_file_info(f"{base}/{n}").type != arrow_fs.FileType.NotFound]
+            for name in gone:
+                store.delete_file(f"{base}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], ["target"])
+
+    return kept(targets.select("target").distinct().mapInArrow(run, "target string"), "removed").count()
+
+
+def synchronized(rows: DataFrame, root: str, known: DataFrame, overwrite: bool = True) -> dict[str, int]:
+    """``export``, after which those of known(target) that have no row are deleted."""
+    done = exported(rows, root, overwrite=overwrite)
+    count = {"written": 0, "skipped": 0} | {r[0]: r[1] for r in done.groupBy("status").count().collect()}
+    return count | {"removed": removed(known.join(done, "target", "left_anti"), root)}
 
 
 def write_error_report(path: str, summary: dict, failed: list[dict]) -> None:
@@ -93,13 +149,26 @@ def write_error_report(path: str, summary: dict, failed: list[dict]) -> None:
 
 def plain_text(answers: DataFrame) -> DataFrame:
     """text of each job's answers (question, answer in order of ``subquestion``), with its header."""
-    job = [c for c in ("pc", "q", "model", "language", "variation", "strategy") if c in answers.columns]
+    job = [c for c in ("pc", "q", "model", "language", "variation", "strategy", "mode") if c in answers.columns]
     blocks = F.transform(F.array_sort(F.collect_list(F.struct("subquestion", "question", "answer"))), lambda x: F.concat(F.lit("Question "), x["subquestion"].cast("string"), F.lit(":\n"), x["question"], F.lit("\n\nAnswer:\n"), x["answer"], F.lit("\n")))
     head = F.concat(F.lit("Exercise: pc"), "pc", F.lit("_q"), "q", F.lit("\nModel: "), "model", F.lit("\nVariation: "), "variation", F.lit("\nPrompt type: "), "strategy", F.lit("\n"))
     rows = answers.groupBy(*job).agg(F.array_join(blocks, "\n").alias("body"))
     return rows.select(*job, F.concat(F.regexp_replace(F.concat(head, F.lit("\n"), "body"), r"\s+\z", ""), F.lit("\n")).alias("text"))
 
 
+def direct_yaml(answers: DataFrame) -> DataFrame:
+    """text (YAML) of each job whose answers are YAML already, or the error of its first bad one."""
+    job = [c for c in ("pc", "q", "model", "language", "variation", "strategy", "mode") if c in answers.columns]
+    rows = answers.groupBy(*job).agg(F.transform(F.array_sort(F.collect_list(F.struct("subquestion", "answer"))), lambda x: x["answer"]).alias("answers"))
+
+    def one(answers: pa.Array) -> pa.Array:
+        from stepgauge.operators import generate
+
+        return pa.array([dict(zip(("text", "error"), generate.direct_yaml(a), strict=True)) for a in answers.to_pylist()], pa.struct([("text", pa.string()), ("error", pa.string())]))
+
+    return rows.select(*job, F.arrow_udf(one, "text string, error string")("answers").alias("__y")).select(*job, "__y.*")
+
+
 def target(template: str, rows: DataFrame, **values: Column) -> DataFrame:
     """rows with their target path; two rows on one path are an error when they are written."""
     own = {c: F.col(c) for c in rows.columns} | values | ({"model": T.path_safe(F.col("model"))} if "model" in rows.columns else {})

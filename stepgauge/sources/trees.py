@@ -107,6 +107,7 @@ def exercise_row(data: dict, answers: bool = False) -> dict:
 
 # -- repair and validation
 
+# The sentences of the faults below, which reports and prompts for repairs hold word by word.
 _NEEDED, _ALLOWED = set(ATOM_FIELDS), {*ATOM_FIELDS, "strength"}
 # Keys of a generic configuration, which no conversion has.
 FORBIDDEN = ["description", "name", "parameters", "scenarios", "version"]
