@@ -23,8 +23,8 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which windows of two or more benchmark items occur go."""
-    return decontaminate.remove_affected(docs, table(spark, sf_dir, "benchmark"))
+    """Documents in which a window of any benchmark item occurs go."""
+    return decontaminate.remove_affected(docs, table(spark, sf_dir, "benchmark"), min_items=1)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
