@@ -1,8 +1,11 @@
 """License scans by ordered signature rules (DataFrame operations only).
 
-Rules are hand-written regular expressions, each with the keyword a text must
-hold for the rule to be tried, and a priority: SPDX tags, then titles with a
-version, then titles, links, and passing mentions.  Where detections overlap, one
+Rules are hand-written regular expressions, each with the keywords of which a
+text must hold one for the rule to be tried (in lower case, with a blank for
+white space and hyphens), and a priority: SPDX tags, then titles with a version,
+then titles, links, and passing mentions.  The gate before all rules is made of
+their keywords, put together letter by letter, so one pass over a text tells
+whether any rule can match.  Where detections overlap, one
 that lies within another is dropped unless its priority is higher; of equal
 intervals the higher priority stays, then the earlier rule.  Base phrases are found
 apart from the rules, by whole words, and their labels always stay.
@@ -14,6 +17,7 @@ their own; letters are folded A-Z only for words, and ASCII-only in rules.
 
 from __future__ import annotations
 
+import json
 import re
 from functools import reduce
 from operator import and_
@@ -35,7 +39,7 @@ _V = r"(?:,?\s*(?:\(?the\s+\"?license\"?\)?\s*)?,?\s*(?:version|ver\.?|v\.?)?\s*
 _LATER = r"(?:\s*(?:\+|or[ -](?:\(at your option\)\s*)?(?:any\s+)?later(?:\s+version)?))"
 _ONLY = r"(?![\d.]*\d)"
 
-#: label, keyword, expression; SPDX tags of these are rules of their own.  In order: the first of equal detections stays.
+#: label, keywords, expression; SPDX tags of these are rules of their own.  In order: the first of equal detections stays.
 TITLES: list[tuple[str, str, str]] = [
     # the GNU family
     ("gpl-1.0", "general public", rf"gnu\s+general\s+public\s+licen[sc]e{_V}1(?:\.0)?{_ONLY}"),
@@ -44,10 +48,10 @@ TITLES: list[tuple[str, str, str]] = [
     ("gpl-3.0-or-later", "general public", rf"gnu\s+general\s+public\s+licen[sc]e{_V}3(?:\.0)?{_LATER}"),
     ("gpl-3.0", "general public", rf"gnu\s+general\s+public\s+licen[sc]e{_V}3(?:\.0)?{_ONLY}"),
     ("lgpl-2.0", "general public", rf"gnu\s+library\s+general\s+public\s+licen[sc]e{_V}2(?:\.0)?{_ONLY}"),
-    ("lgpl-2.1-or-later", "lesser", rf"gnu\s+lesser\s+general\s+public\s+licen[sc]e{_V}2\.1{_LATER}"),
-    ("lgpl-2.1", "lesser", rf"gnu\s+lesser\s+general\s+public\s+licen[sc]e{_V}2\.1"),
-    ("lgpl-3.0-or-later", "lesser", rf"gnu\s+lesser\s+general\s+public\s+licen[sc]e{_V}3(?:\.0)?{_LATER}"),
-    ("lgpl-3.0", "lesser", rf"gnu\s+lesser\s+general\s+public\s+licen[sc]e{_V}3(?:\.0)?{_ONLY}"),
+    ("lgpl-2.1-or-later", "lesser general", rf"gnu\s+lesser\s+general\s+public\s+licen[sc]e{_V}2\.1{_LATER}"),
+    ("lgpl-2.1", "lesser general", rf"gnu\s+lesser\s+general\s+public\s+licen[sc]e{_V}2\.1"),
+    ("lgpl-3.0-or-later", "lesser general", rf"gnu\s+lesser\s+general\s+public\s+licen[sc]e{_V}3(?:\.0)?{_LATER}"),
+    ("lgpl-3.0", "lesser general", rf"gnu\s+lesser\s+general\s+public\s+licen[sc]e{_V}3(?:\.0)?{_ONLY}"),
     ("agpl-3.0-or-later", "affero", rf"gnu\s+affero\s+general\s+public\s+licen[sc]e{_V}3(?:\.0)?{_LATER}"),
     ("agpl-3.0", "affero", rf"(?:gnu\s+)?affero\s+general\s+public\s+licen[sc]e{_V}3(?:\.0)?{_ONLY}"),
     ("agpl-1.0", "affero", rf"affero\s+general\s+public\s+licen[sc]e{_V}1(?:\.0)?{_ONLY}"),
@@ -95,44 +99,44 @@ TITLES: list[tuple[str, str, str]] = [
     ("bsd-3-clause", "bsd", r"(?:bsd[ -]3[ -]clause|(?:3|three)[ -]clause\s+bsd|(?:new|modified|revised)\s+bsd)(?:\s+licen[sc]e)?"),
     ("bsd-4-clause", "bsd", r"(?:bsd[ -]4[ -]clause|(?:4|four)[ -]clause\s+bsd|original\s+bsd)(?:\s+licen[sc]e)?"),
     ("0bsd", "bsd", r"(?:\b0bsd\b|zero[ -]clause\s+bsd(?:\s+licen[sc]e)?)"),
-    ("mit-0", "mit", r"\bmit(?:[ -]0|\s+no\s+attribution)(?:\s+licen[sc]e)?"),
-    ("x11", "x11", r"\bx11\s+licen[sc]e"),
-    ("isc", "isc", r"\bisc\s+licen[sc]e"),
+    ("mit-0", "mit 0|mit no attribution", r"\bmit(?:[ -]0|\s+no\s+attribution)(?:\s+licen[sc]e)?"),
+    ("x11", "x11 licen", r"\bx11\s+licen[sc]e"),
+    ("isc", "isc licen", r"\bisc\s+licen[sc]e"),
     ("ncsa", "ncsa", r"(?:university\s+of\s+illinois[/ ]+)?ncsa\s+open\s+source\s+licen[sc]e"),
-    ("zlib", "zlib", r"\bzlib(?:[/ ]libpng)?\s+licen[sc]e"),
-    ("libpng", "libpng", r"\blibpng\s+licen[sc]e"),
-    ("bsl-1.0", "boost", rf"boost\s+software\s+licen[sc]e(?:{_V}1\.0)?"),
+    ("zlib", "zlib licen|zlib/libpng|zlib libpng", r"\bzlib(?:[/ ]libpng)?\s+licen[sc]e"),
+    ("libpng", "libpng licen", r"\blibpng\s+licen[sc]e"),
+    ("bsl-1.0", "boost software", rf"boost\s+software\s+licen[sc]e(?:{_V}1\.0)?"),
     ("unlicense", "unlicense", r"\b(?:the\s+)?unlicense\b"),
     ("wtfpl", "wtfpl", r"\bwtfpl\b"),
-    ("python-2.0", "python", rf"python\s+(?:software\s+foundation\s+)?licen[sc]e(?:{_V}2(?:\.0)?)?"),
+    ("python-2.0", "python licen|python software", rf"python\s+(?:software\s+foundation\s+)?licen[sc]e(?:{_V}2(?:\.0)?)?"),
     ("postgresql", "postgresql", r"postgresql\s+licen[sc]e"),
-    ("php-3.01", "php", rf"php\s+licen[sc]e{_V}3\.01"),
-    ("php-3.0", "php", rf"php\s+licen[sc]e{_V}3\.0{_ONLY}"),
-    ("ruby", "ruby", r"\bruby\s+licen[sc]e"),
-    ("vim", "vim", r"\bvim\s+licen[sc]e"),
-    ("curl", "curl", r"\bcurl\s+licen[sc]e"),
-    ("openssl", "openssl", r"\bopenssl\s+licen[sc]e"),
-    ("artistic-1.0", "artistic", rf"artistic\s+licen[sc]e{_V}1\.0"),
-    ("artistic-2.0", "artistic", rf"artistic\s+licen[sc]e{_V}2(?:\.0)?{_ONLY}"),
+    ("php-3.01", "php licen", rf"php\s+licen[sc]e{_V}3\.01"),
+    ("php-3.0", "php licen", rf"php\s+licen[sc]e{_V}3\.0{_ONLY}"),
+    ("ruby", "ruby licen", r"\bruby\s+licen[sc]e"),
+    ("vim", "vim licen", r"\bvim\s+licen[sc]e"),
+    ("curl", "curl licen", r"\bcurl\s+licen[sc]e"),
+    ("openssl", "openssl licen", r"\bopenssl\s+licen[sc]e"),
+    ("artistic-1.0", "artistic licen", rf"artistic\s+licen[sc]e{_V}1\.0"),
+    ("artistic-2.0", "artistic licen", rf"artistic\s+licen[sc]e{_V}2(?:\.0)?{_ONLY}"),
     ("afl-2.1", "academic free", rf"academic\s+free\s+licen[sc]e{_V}2\.1"),
     ("afl-3.0", "academic free", rf"academic\s+free\s+licen[sc]e{_V}3\.0"),
     ("osl-2.1", "open software", rf"open\s+software\s+licen[sc]e{_V}2\.1"),
     ("osl-3.0", "open software", rf"open\s+software\s+licen[sc]e{_V}3\.0"),
     # weak copyleft and corporate ones
-    ("mpl-1.0", "mozilla", rf"mozilla\s+public\s+licen[sc]e{_V}1\.0"),
-    ("mpl-1.1", "mozilla", rf"mozilla\s+public\s+licen[sc]e{_V}1\.1"),
-    ("mpl-2.0", "mozilla", rf"mozilla\s+public\s+licen[sc]e{_V}2(?:\.0)?{_ONLY}"),
-    ("epl-1.0", "eclipse", rf"eclipse\s+public\s+licen[sc]e{_V}1(?:\.0)?{_ONLY}"),
-    ("epl-2.0", "eclipse", rf"eclipse\s+public\s+licen[sc]e{_V}2(?:\.0)?{_ONLY}"),
-    ("cpl-1.0", "common public", rf"common\s+public\s+licen[sc]e(?:{_V}1\.0)?"),
+    ("mpl-1.0", "mozilla public", rf"mozilla\s+public\s+licen[sc]e{_V}1\.0"),
+    ("mpl-1.1", "mozilla public", rf"mozilla\s+public\s+licen[sc]e{_V}1\.1"),
+    ("mpl-2.0", "mozilla public", rf"mozilla\s+public\s+licen[sc]e{_V}2(?:\.0)?{_ONLY}"),
+    ("epl-1.0", "eclipse public", rf"eclipse\s+public\s+licen[sc]e{_V}1(?:\.0)?{_ONLY}"),
+    ("epl-2.0", "eclipse public", rf"eclipse\s+public\s+licen[sc]e{_V}2(?:\.0)?{_ONLY}"),
+    ("cpl-1.0", "common public licen", rf"common\s+public\s+licen[sc]e(?:{_V}1\.0)?"),
     ("cddl-1.0", "common development", rf"common\s+development\s+and\s+distribution\s+licen[sc]e{_V}1\.0"),
     ("cddl-1.1", "common development", rf"common\s+development\s+and\s+distribution\s+licen[sc]e{_V}1\.1"),
-    ("eupl-1.1", "european union", rf"european\s+union\s+public\s+licen[sc]e{_V}1\.1"),
-    ("eupl-1.2", "european union", rf"european\s+union\s+public\s+licen[sc]e{_V}1\.2"),
-    ("ms-pl", "microsoft", r"microsoft\s+public\s+licen[sc]e"),
-    ("ms-rl", "microsoft", r"microsoft\s+reciprocal\s+licen[sc]e"),
-    ("ipl-1.0", "ibm", rf"ibm\s+public\s+licen[sc]e(?:{_V}1\.0)?"),
-    ("apsl-2.0", "apple", rf"apple\s+public\s+source\s+licen[sc]e(?:{_V}2\.0)?"),
+    ("eupl-1.1", "european union public", rf"european\s+union\s+public\s+licen[sc]e{_V}1\.1"),
+    ("eupl-1.2", "european union public", rf"european\s+union\s+public\s+licen[sc]e{_V}1\.2"),
+    ("ms-pl", "microsoft public", r"microsoft\s+public\s+licen[sc]e"),
+    ("ms-rl", "microsoft reciprocal", r"microsoft\s+reciprocal\s+licen[sc]e"),
+    ("ipl-1.0", "ibm public", rf"ibm\s+public\s+licen[sc]e(?:{_V}1\.0)?"),
+    ("apsl-2.0", "apple public", rf"apple\s+public\s+source\s+licen[sc]e(?:{_V}2\.0)?"),
     ("qpl-1.0", "public licen", r"\bq\s+public\s+licen[sc]e"),
     ("sissl", "sun industry", r"sun\s+industry\s+standards\s+source\s+licen[sc]e"),
     ("upl-1.0", "universal permissive", r"universal\s+permissive\s+licen[sc]e"),
@@ -143,7 +147,7 @@ TITLES: list[tuple[str, str, str]] = [
     ("pddl-1.0", "public domain", r"(?:open\s+data\s+commons\s+)?public\s+domain\s+dedication\s+(?:and|&)\s+licen[sc]e"),
     ("bsl-1.1", "business source", rf"business\s+source\s+licen[sc]e(?:{_V}1\.1)?"),
     ("sspl-1.0", "server side", r"server\s+side\s+public\s+licen[sc]e"),
-    ("elastic-2.0", "elastic", rf"elastic\s+licen[sc]e(?:{_V}2\.0)?"),
+    ("elastic-2.0", "elastic licen", rf"elastic\s+licen[sc]e(?:{_V}2\.0)?"),
     ("openrail-m", "openrail", r"\bopenrail(?:\+\+)?[ -]?m?\b"),
     ("blueoak-1.0.0", "blue oak", r"blue\s+oak\s+model\s+licen[sc]e"),
     ("cecill-2.1", "cecill", rf"cecill(?:\s+free\s+software\s+licen[sc]e(?:\s+agreement)?)?{_V}2\.1"),
@@ -151,14 +155,64 @@ TITLES: list[tuple[str, str, str]] = [
     ("cecill-c", "cecill", r"\bcecill-c\b"),
     ("mulanpsl-2.0", "mulan", rf"mulan\s+permissive\s+software\s+licen[sc]e{_V}2"),
     ("lppl-1.3c", "latex project", rf"latex\s+project\s+public\s+licen[sc]e(?:{_V}1\.3c)?"),
-    ("json", "json", r"\bjson\s+licen[sc]e\b"),
+    ("json", "json licen", r"\bjson\s+licen[sc]e\b"),
     ("beerware", "beerware", r"\bbeerware(?:\s+licen[sc]e)?\b"),
+    # others of the open-source and data worlds
+    ("aladdin", "aladdin free", r"aladdin\s+free\s+public\s+licen[sc]e"),
+    ("apl-1.0", "adaptive public", r"adaptive\s+public\s+licen[sc]e"),
+    ("cpal-1.0", "common public attribution", r"common\s+public\s+attribution\s+licen[sc]e"),
+    ("cua-opl-1.0", "cua office", r"cua\s+office\s+public\s+licen[sc]e"),
+    ("ecl-2.0", "educational community", rf"educational\s+community\s+licen[sc]e(?:{_V}2\.0)?"),
+    ("efl-2.0", "eiffel forum", rf"eiffel\s+forum\s+licen[sc]e(?:{_V}2)?"),
+    ("entessa", "entessa public", r"entessa\s+public\s+licen[sc]e"),
+    ("fair", "fair licen", r"\bfair\s+licen[sc]e\b"),
+    ("frameworx-1.0", "frameworx open", r"frameworx\s+open\s+licen[sc]e"),
+    ("hpnd", "historical permission", r"historical\s+permission\s+notice\s+and\s+disclaimer"),
+    ("ijg", "independent jpeg", r"independent\s+jpeg\s+group\s+licen[sc]e"),
+    ("imagemagick", "imagemagick licen", r"\bimagemagick\s+licen[sc]e"),
+    ("intel", "intel open source", r"\bintel\s+open\s+source\s+licen[sc]e"),
+    ("lal-1.3", "free art licen|licence art libre", r"(?:free\s+art\s+licen[sc]e|licence\s+art\s+libre)"),
+    ("lpl-1.02", "lucent public", rf"lucent\s+public\s+licen[sc]e(?:{_V}1\.02)?"),
+    ("miros", "miros licen", r"\bmiros\s+licen[sc]e"),
+    ("motosoto", "motosoto open", r"motosoto\s+open\s+source\s+licen[sc]e"),
+    ("nasa-1.3", "nasa open source", r"\bnasa\s+open\s+source\s+agreement"),
+    ("naumen", "naumen public", r"naumen\s+public\s+licen[sc]e"),
+    ("ngpl", "nethack general", r"nethack\s+general\s+public\s+licen[sc]e"),
+    ("nokia", "nokia open source", r"nokia\s+open\s+source\s+licen[sc]e"),
+    ("npl-1.1", "netscape public", rf"netscape\s+public\s+licen[sc]e(?:{_V}1\.1)?"),
+    ("oclc-2.0", "oclc research", r"oclc\s+research\s+public\s+licen[sc]e"),
+    ("ogtsl", "open group test", r"open\s+group\s+test\s+suite\s+licen[sc]e"),
+    ("opl-1.0", "open publication", r"open\s+publication\s+licen[sc]e"),
+    ("oset-pl-2.1", "oset public", r"\boset\s+public\s+licen[sc]e"),
+    ("ogl-uk-3.0", "open government", rf"open\s+government\s+licen[sc]e(?:{_V}3\.0)?"),
+    ("rscpl", "ricoh source", r"ricoh\s+source\s+code\s+public\s+licen[sc]e"),
+    ("rpsl-1.0", "realnetworks public", r"realnetworks\s+public\s+source\s+licen[sc]e"),
+    ("rpl-1.5", "reciprocal public", rf"reciprocal\s+public\s+licen[sc]e(?:{_V}1\.5)?"),
+    ("sleepycat", "sleepycat licen", r"\bsleepycat\s+licen[sc]e"),
+    ("sgi-b-2.0", "sgi free software", r"\bsgi\s+free\s+software\s+licen[sc]e\s+b"),
+    ("spl-1.0", "sun public licen", r"\bsun\s+public\s+licen[sc]e"),
+    ("tcl", "tcl/tk licen|tcl licen", r"\btcl(?:/tk)?\s+licen[sc]e"),
+    ("vsl-1.0", "vovida software", r"vovida\s+software\s+licen[sc]e"),
+    ("watcom-1.0", "sybase open watcom", r"sybase\s+open\s+watcom\s+public\s+licen[sc]e"),
+    ("zpl-2.1", "zope public", rf"zope\s+public\s+licen[sc]e(?:{_V}2\.1)?"),
+    ("zend-2.0", "zend licen|zend engine licen", r"\bzend\s+(?:engine\s+)?licen[sc]e"),
+    ("bittorrent-1.1", "bittorrent open", r"bittorrent\s+open\s+source\s+licen[sc]e"),
+    ("condor-1.1", "condor public", r"condor\s+public\s+licen[sc]e"),
+    ("dsl-1.0", "design science", r"design\s+science\s+licen[sc]e"),
+    ("etalab-2.0", "licence ouverte", r"licence\s+ouverte(?:\s*/\s*open\s+licen[sc]e)?"),
+    ("parity-7.0.0", "parity public", r"parity\s+public\s+licen[sc]e"),
+    ("polyform-nc-1.0.0", "polyform noncommercial", r"polyform\s+noncommercial\s+licen[sc]e"),
+    ("polyform-sb-1.0.0", "polyform small", r"polyform\s+small\s+business\s+licen[sc]e"),
+    ("hippocratic-2.1", "hippocratic licen", r"\bhippocratic\s+licen[sc]e"),
+    ("anti-996", "anti 996", r"\banti[ -]996(?:\s+licen[sc]e)?"),
+    ("cdla-permissive-2.0", "community data licen", r"community\s+data\s+licen[sc]e\s+agreement\s*[-,]?\s*permissive"),
+    ("cdla-sharing-1.0", "community data licen", r"community\s+data\s+licen[sc]e\s+agreement\s*[-,]?\s*sharing"),
 ]
 
 #: Names without a version, abbreviations and wordings.
 MENTIONS: list[tuple[str, str, str]] = [
     ("gpl", "general public", r"gnu\s+general\s+public\s+licen[sc]e"),
-    ("lgpl", "lesser", r"gnu\s+lesser\s+general\s+public\s+licen[sc]e"),
+    ("lgpl", "lesser general", r"gnu\s+lesser\s+general\s+public\s+licen[sc]e"),
     ("lgpl", "library general", r"gnu\s+library\s+general\s+public\s+licen[sc]e"),
     ("agpl", "affero", r"(?:gnu\s+)?affero\s+general\s+public\s+licen[sc]e"),
     ("gfdl", "free documentation", r"(?:gnu\s+)?free\s+documentation\s+licen[sc]e"),
@@ -174,13 +228,13 @@ MENTIONS: list[tuple[str, str, str]] = [
     ("agpl", "agpl", r"\bagpl\b"),
     ("apache", "apache", r"apache\s+(?:software\s+)?licen[sc]e"),
     ("apache-2.0", "apache", r"\bapache[ -]2(?:\.0)?\b"),
-    ("asl", "asl", r"\basl[ -]?2(?:\.0)?\b"),
-    ("mit", "mit", r"\bmit\s+licen[sc]e"),
-    ("mit", "mit", r"\b(?:expat\s+licen[sc]e|mit/x11|mit[ -]style\s+licen[sc]e|mit-licensed)"),
+    ("asl", "asl2|asl 2", r"\basl[ -]?2(?:\.0)?\b"),
+    ("mit", "mit licen", r"\bmit\s+licen[sc]e"),
+    ("mit", "expat licen|mit/x11|mit style licen|mit licensed", r"\b(?:expat\s+licen[sc]e|mit/x11|mit[ -]style\s+licen[sc]e|mit-licensed)"),
     ("mit", "permission is hereby", r"permission\s+is\s+hereby\s+granted,\s+free\s+of\s+charge,\s+to\s+any\s+person"),
     ("isc", "permission to use", r"permission\s+to\s+use,\s+copy,\s+modify,\s+and/or\s+distribute\s+this\s+software\s+for\s+any\s+purpose"),
     ("bsd", "bsd", r"\bbsd(?:[ -]style|[ -]type)?\s+licen[sc]e"),
-    ("bsd", "redistribution", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms"),
+    ("bsd", "redistribution and use", r"redistribution\s+and\s+use\s+in\s+source\s+and\s+binary\s+forms"),
     ("bsd-3-clause", "endorse or promote", r"may\s+be\s+used\s+to\s+endorse\s+or\s+promote\s+products\s+derived"),
     ("cc-by", "cc by", r"\bcc[ -]by\b"),
     ("cc-by-sa", "cc by", r"\bcc[ -]by[ -]sa\b"),
@@ -192,19 +246,19 @@ MENTIONS: list[tuple[str, str, str]] = [
     ("cc-by-sa", "creative commons", r"creative\s+commons\s+attribution[ -]share[ -]?alike"),
     ("cc-by-nc", "creative commons", r"creative\s+commons\s+attribution[ -]non-?commercial"),
     ("creative-commons", "creative commons", r"creative\s+commons(?:\s+licen[sc]e)?"),
-    ("mpl", "mozilla", r"mozilla\s+public\s+licen[sc]e"),
-    ("mpl-2.0", "mpl", r"\bmpl[ -]?2(?:\.0)?\b"),
-    ("epl", "eclipse", r"eclipse\s+public\s+licen[sc]e"),
+    ("mpl", "mozilla public", r"mozilla\s+public\s+licen[sc]e"),
+    ("mpl-2.0", "mpl2|mpl 2", r"\bmpl[ -]?2(?:\.0)?\b"),
+    ("epl", "eclipse public", r"eclipse\s+public\s+licen[sc]e"),
     ("cddl", "cddl", r"\bcddl\b"),
     ("eupl", "eupl", r"\beupl\b"),
-    ("artistic", "artistic", r"artistic\s+licen[sc]e"),
+    ("artistic", "artistic licen", r"artistic\s+licen[sc]e"),
     ("osl", "open software", r"open\s+software\s+licen[sc]e"),
     ("afl", "academic free", r"academic\s+free\s+licen[sc]e"),
     ("public-domain", "public domain", r"(?:released|placed|dedicated|is|are)\s+(?:in(?:to)?|to)\s+the\s+public\s+domain"),
     ("public-domain", "public domain", r"\bpublic\s+domain\b"),
     ("proprietary", "all rights reserved", r"all\s+rights\s+reserved"),
-    ("proprietary", "proprietary", r"proprietary\s+(?:and\s+confidential|licen[sc]e|software)"),
-    ("proprietary", "confidential", r"confidential\s+and\s+proprietary"),
+    ("proprietary", "proprietary and confidential|proprietary licen|proprietary software", r"proprietary\s+(?:and\s+confidential|licen[sc]e|software)"),
+    ("proprietary", "confidential and proprietary", r"confidential\s+and\s+proprietary"),
     ("commercial", "commercial licen", r"commercial\s+licen[sc]e"),
     ("eula", "end user licen", r"end[ -]user\s+licen[sc]e\s+agreement"),
     ("free-unknown", "licen", r"(?:released|licensed|distributed|published)\s+under\s+(?:an?\s+)?(?:open|free)[ -](?:source\s+|software\s+)?licen[sc]e"),
@@ -252,11 +306,11 @@ SURE = {TAG: 1.0, TITLE: 0.9, LINK: 0.8, MENTION: 0.6}
 
 
 def rules() -> list[tuple[int, str, str, str]]:
-    """(priority, label, keyword, expression), in order."""
+    """(priority, label, keywords, expression), in order."""
     names = sorted({label for label, _, _ in [*TITLES, *MENTIONS]})
     # one tag rule per label: the tag, then the label as SPDX writes it
-    out = [(TAG, n, "spdx-license-identifier", rf"spdx-license-identifier:\s*\(?\s*{re.escape(n)}(?![\w.+-])") for n in names]
-    out += [(TAG, f"{n}-or-later", "spdx-license-identifier", rf"spdx-license-identifier:\s*\(?\s*{re.escape(n)}\+") for n in names if n.startswith(("gpl-", "lgpl-", "agpl-")) and not n.endswith("later")]
+    out = [(TAG, n, "spdx license identifier", rf"spdx-license-identifier:\s*\(?\s*{re.escape(n)}(?![\w.+-])") for n in names]
+    out += [(TAG, f"{n}-or-later", "spdx license identifier", rf"spdx-license-identifier:\s*\(?\s*{re.escape(n)}\+") for n in names if n.startswith(("gpl-", "lgpl-", "agpl-")) and not n.endswith("later")]
     return out + [(p, *r) for p, group in ((TITLE, TITLES), (LINK, LINKS), (MENTION, MENTIONS)) for r in group]
 
 
@@ -265,8 +319,24 @@ def folded(text: Column) -> Column:
     return F.lower(text)
 
 
-#: What any keyword of a rule or phrase holds; texts without are not looked at further.
-GATE = r"(?i)licen[sc]|(?<![a-z])[al]?gpl|cc[^a-z0-9]+by|\bcc0|creative\s+commons|public\s+domain|\bmit(?:[ -]0|[/-]|\s+no\s)|bsd|apache|unlicense|wtfpl|cddl|eupl|\basl|\bmpl|openrail|cecill|beerware|all\s+rights\s+reserved|proprietary|permission\s+(?:is\s+hereby|to\s+use)|redistribution|endorse\s+or\s+promote|gnu\.org|\.org/legal|opensource\.org|mozilla\.org|opendatacommons|scripts\.sil|boost\.org|creativecommons"
+def together(words: set[str]) -> str:
+    """One expression for the places where any of the words begins, letter by letter; a blank is white space or hyphens."""
+    if "" in words:
+        return ""
+    rest: dict[str, set[str]] = {}
+    for w in words:
+        rest.setdefault(w[0], set()).add(w[1:])
+    ways = [(r"[\s-]+" if first == " " else re.escape(first)) + together(more) for first, more in sorted(rest.items())]
+    return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+
+def keywords(rule: tuple[int, str, str, str]) -> list[str]:
+    return rule[2].split("|")
+
+
+#: What a text in lower case must hold for any rule to be tried, and for any base phrase.
+GATE = together({k for rule in rules() for k in keywords(rule)})
+BASE_GATE = r"license|cc[^a-z0-9]+by"
 
 
 def base_places(words: Column) -> Column:
@@ -282,8 +352,12 @@ def base_places(words: Column) -> Column:
 
 
 def detections(low: Column) -> Column:
-    """begin, end, priority (negative), rule and label of every match of the rules whose keyword the text holds."""
-    table = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(k).alias("k"), F.lit(n).alias("n"), F.lit(w).alias("w"), F.lit(x).alias("x")) for k, (p, n, w, x) in enumerate(rules())])
+    """begin, end, priority (negative), rule and label of every match of the rules of which the text holds a keyword."""
+    groups: dict[str, list[dict]] = {}
+    for k, (p, n, w, x) in enumerate(rules()):
+        groups.setdefault(w, []).append({"p": p, "k": k, "n": n, "x": x})
+    # one constant, which the optimiser makes of its JSON
+    table = F.from_json(F.lit(json.dumps([{"w": w.split("|"), "rules": group} for w, group in groups.items()])), "array<struct<w:array<string>,rules:array<struct<p:int,k:int,n:string,x:string>>>>")
 
     def places(text: Column, rule: Column) -> Column:
         """Lengths of the text between matches and of the matches give the places."""
@@ -296,10 +370,9 @@ def detections(low: Column) -> Column:
         return let(F.struct(F.split(text, rule["x"], -1).alias("a"), F.regexp_extract_all(text, rule["x"], F.lit(0)).alias("b")), lambda y: built(y["a"], y["b"]))
 
     def of(text: Column) -> Column:
-        # keywords are written with blanks; a text's own breaks and marks count as such
         plain = F.regexp_replace(text, r"[\s-]+", " ")
-        hold = lambda r, t: F.contains(t, r["w"]) | F.contains(text, r["w"])
-        return F.flatten(F.transform(let(plain, lambda t: F.filter(table, lambda r: hold(r, t))), lambda r: places(text, r)))
+        tried = let(plain, lambda t: F.filter(table, lambda g: F.exists(g["w"], lambda w: F.contains(t, w))))
+        return F.flatten(F.flatten(F.transform(tried, lambda g: F.transform(g["rules"], lambda r: places(text, r)))))
 
     return let(low, of)
 
@@ -333,10 +406,14 @@ def surviving(found: Column) -> Column:
 def scanned(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score for every whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    low = docs.select("doc_id", text.alias("text"), folded(text).alias("low"))
+    found = let(surviving(detections(F.col("low"))), lambda s: F.struct(s["labels"].alias("labels"), s["best"].alias("best")))
+    text = F.col("text")
     words = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), lambda w: F.lower(w))
-    none = F.expr("cast(null as struct<base:array<struct<start:bigint,label:string>>,rest:struct<labels:array<string>,best:int>>)")
-    view = F.struct(base_places(words).alias("base"), let(surviving(detections(folded(text))), lambda s: F.struct(s["labels"].alias("labels"), s["best"].alias("best"))).alias("rest"))
-    rows = docs.select("doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"), F.when(text.rlike(GATE), view).otherwise(none).alias("v"))
+    rows = low.select(
+        "doc_id", F.regexp_count(text, F.lit(WORD)).cast("long").alias("n_words"),
+        F.struct(F.when(F.col("low").rlike(BASE_GATE), base_places(words)).alias("base"), F.when(F.col("low").rlike(GATE), found).alias("rest")).alias("v"),
+    )
     base = F.coalesce(F.col("v.base"), F.expr("cast(array() as array<struct<start:bigint,label:string>>)"))
     own = F.array_sort(F.array_distinct(F.transform(base, lambda x: x["label"])))
     more = F.coalesce(F.col("v.rest.labels"), F.expr("cast(array() as array<string>)"))

@@ -115,8 +115,8 @@ items AS (
   SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
   FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY rid),
 starts AS (SELECT DISTINCT item_id, i AS place, least(8, len(w)) AS size, w[i : i + least(8, len(w)) - 1] AS head FROM b, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS t(i) WHERE len(w) > 0),
-met AS (SELECT rid, item_id, p.i AS at, p.i - place AS shift, p.size FROM places p JOIN starts s ON p.size = s.size AND p.head = s.head),
-runs AS (SELECT *, at - row_number() OVER (PARTITION BY rid, item_id, shift ORDER BY at) AS run FROM met),
+met AS (SELECT rid, item_id, p.i AS pos, p.i - place AS shift, p.size FROM places p JOIN starts s ON p.size = s.size AND p.head = s.head),
+runs AS (SELECT *, pos - row_number() OVER (PARTITION BY rid, item_id, shift ORDER BY pos) AS run FROM met),
 longest AS (SELECT rid, max(n) AS longest FROM (SELECT rid, count(*) + min(size) - 1 AS n FROM runs GROUP BY rid, item_id, shift, run) GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
   CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_items, 0) >= 2 AS contaminated,
