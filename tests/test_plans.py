@@ -198,3 +198,76 @@ def test_arrivals_are_taken_up_once(spark, tmp_path):
         incremental.evaluate_arrivals(spark, str(source), gt, hashing_encoder(), out, str(tmp_path / "at"), ("summary",)).awaitTermination()
     rows = spark.read.parquet(f"{out}/summary").collect()
     assert sorted((r.call1_model, r.batch) for r in rows) == [("m", 0), ("n", 1)]
+
+
+def test_every_prompt_is_sent_once(spark, tmp_path):
+    """The tables of good and failed jobs are both used, but the generator is called once for each prompt."""
+    from stepgauge.plans import conversion
+
+    log = str(tmp_path / "calls")
+
+    def say(model, prompt):
+        with open(log, "a") as file:
+            file.write(prompt + "\n")
+        if "two" in prompt:
+            raise RuntimeError("no")
+        return "atoms: [{preconditions: [], arguments: [a], outcomes: []}]"
+
+    prompts = {"en": {"common_header": "p", "strategies": {"strictly_sequential": "$current_question"}, "per_question_conversion": "convert $source_answer", "repair": "repair $raw_response"}}
+    sub = "array<struct<question:string,assumptions:array<string>,answer:string>>"
+    rows = spark.createDataFrame([(q, "1", "en", "", [], [(q, [], None)]) for q in ("one", "two", "three")], f"pc string, q string, language string, context string, assumption_global array<string>, subquestions {sub}")
+    jobs = conversion.answer_jobs(rows, ["v"], ["strictly_sequential"], ["m"], modes=["plain_text", "yaml"])
+    good, failed = conversion.run_answers(jobs, say, prompts)
+    assert (good.count(), failed.count(), good.count()) == (4, 2, 4)
+    assert sorted(open(log).read().split()) == sorted(["p", "p", "one", "one", "p", "p", "two", "two", "p", "p", "three", "three"])
+    todo = spark.createDataFrame([(1, "en", "m", ["x"]), (2, "en", "m", ["two"])], "id int, language string, model string, blocks array<string>")
+    open(log, "w").close()
+    good, failed = conversion.run_conversions(todo, say, prompts)
+    assert (good.count(), failed.count(), good.count()) == (1, 1, 1)
+    assert len(open(log).read().splitlines()) == 2
+
+
+def test_generate_skips_what_is_there(spark, tmp_path):
+    """The command line against a local service: both output modes, counters, and a second run that asks for nothing."""
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    from stepgauge import cli
+    from stepgauge.sources import trees
+
+    asked = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked.append(json.loads(self.rfile.read(int(self.headers["Content-Length"]))))
+            body = json.dumps({"response": "atoms: [{preconditions: [], arguments: [a], outcomes: []}]"}).encode()
+            self.send_response(200)
+            self.send_header("Content-Length", str(len(body)))
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    inputs = tmp_path / "in" / "en"
+    inputs.mkdir(parents=True)
+    (inputs / "pc1_q2.yaml").write_text("context: c\nassumption_global: []\nsubquestions: [{question: Why, assumptions: []}, {question: How, assumptions: []}]\n")
+    settings = {
+        "input": {"root_directory": str(tmp_path / "in")}, "models": [{"id": "a/b"}], "output_modes": ["plain_text", "yaml"],
+        "prompts": {"languages": {"en": {"common_header": "h", "strategies": {"strictly_sequential": "$current_question", "self_history": "$self_history"}, }}},
+        "output": {"root_directory": str(tmp_path / "out"), "filename_template": "pc{pc}_q{exercise}_{prompt_type_abbrev}{suffix}"},
+    }
+    settings["input"]["filters"] = {"prompt_types": ["strictly_sequential", "self_history"]}
+    (tmp_path / "c.yaml").write_text(trees.dumped(settings))
+    run = lambda: cli.main(["generate", "--config", str(tmp_path / "c.yaml"), "--endpoint", f"http://127.0.0.1:{server.server_port}"])
+    assert run() == 0 and len(asked) == 8 and {x["model"] for x in asked} == {"a/b"}
+    out = tmp_path / "out"
+    assert sorted(str(p.relative_to(out)) for p in out.rglob("pc*")) == sorted(f"{m}/a-b/en/baseline/pc1_q2_{s}{x}" for m, x in (("plain_text", ".txt"), ("yaml", ".yaml")) for s in ("seq", "self"))
+    assert len(trees.load_tagged((out / "yaml/a-b/en/baseline/pc1_q2_seq.yaml").read_text())["subquestions"]) == 2
+    (out / "yaml/a-b/en/baseline/pc1_q2_seq.yaml").unlink()
+    assert run() == 0 and len(asked) == 10
+    assert run() == 0 and len(asked) == 10
+    server.shutdown()
