@@ -185,24 +185,46 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def components(scratch: Scratch, links: DataFrame) -> DataFrame:
     """node, label: the smallest node of each node's component, for links (a, b).
 
-    Each round takes the least label of all neighbours, then follows labels one
-    step; both joins read written tables, so hot nodes can be split.
+    Each round hangs every node on its least neighbour, follows that to the
+    root, and goes on with the links between roots alone, so a link within a tree
+    is walked once.  A root that nothing hangs on has a smaller neighbour in the
+    next round: two rounds at least halve the nodes.  Joins read written tables, so
+    hot nodes can be split.
     """
-    edges = scratch.keep(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct())
+    between = lambda rows, a, b: rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a != b").distinct()
+    edges = scratch.keep(between(links, "a", "b"))
+    labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+    first = count = edges.count()
     # tables of links are small beside the documents: as many files as their rows ask for
-    parts = -(-edges.count() // LINKS_AT_ONCE)
-    keep = lambda rows: scratch.keep(rows.coalesce(max(1, parts)))
-    labels = keep(edges.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
-    while True:
-        near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("at")).agg(F.min("label").alias("seen"))
-        better = keep(labels.join(near, labels.node == near["at"], "left").select("node", F.least("label", "seen").alias("label"), F.col("label").alias("old")))
-        far = better.select(F.col("node").alias("at"), F.col("label").alias("further"))
-        jumped = keep(better.join(far, better.label == far["at"], "left").select("node", F.least("label", "further").alias("label"), (F.least("label", "further") != F.col("old")).alias("moved")))
-        scratch.discard(labels, better)
-        labels = jumped.select("node", "label")
-        if not jumped.where("moved").limit(1).count():
-            scratch.discard(edges)
-            return labels
+    keep = lambda rows: scratch.keep(rows.coalesce(max(1, -(-2 * first // LINKS_AT_ONCE))))
+    old = None
+    while count:
+        ends = edges.union(edges.select("b", "a"))
+        roots = keep(ends.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
+        moved = True
+        while moved:
+            far = roots.select(F.col("node").alias("at"), F.col("label").alias("further"))
+            jumped = keep(roots.join(far, roots.label == far["at"]).select("node", F.col("further").alias("label"), (F.col("further") != F.col("label")).alias("moved")))
+            scratch.discard(roots)
+            roots, moved = jumped.select("node", "label"), jumped.where("moved").limit(1).count()
+        of = lambda c: roots.select(F.col("node").alias(c), F.col("label").alias(f"root_{c}"))
+        rest = keep(between(edges.join(of("a"), "a").join(of("b"), "b"), "root_a", "root_b"))
+        scratch.discard(edges)
+        edges, count = rest, rest.count()
+        if old is None:
+            labels = roots
+        else:
+            labels = keep(old.join(of("label"), "label", "left").select("node", F.coalesce("root_label", "label").alias("label")))
+            scratch.discard(old, roots)
+        old = labels
+    if old is not None:
+        scratch.discard(edges)
+    return labels
+
+
+def stars(labels: DataFrame) -> DataFrame:
+    """a, b: a link from each node to its label, which join what the links did that the labels (node, label) come from."""
+    return labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))
 
 
 def candidates(scratch: Scratch, known: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -253,9 +275,8 @@ def fetched(docs: DataFrame, known: DataFrame, wanted: DataFrame) -> DataFrame:
     return found.select(*wanted.columns, "text").dropDuplicates(["content"])
 
 
-def further(scratch: Scratch, docs: DataFrame, known: DataFrame, rest: DataFrame, links: DataFrame) -> tuple[DataFrame, DataFrame] | None:
-    """(a, b: all pairs that can be near of the texts of a bucket that neither pivots nor links have settled; content, text of those); None if there are no such texts."""
-    labels = components(scratch, links)
+def further(scratch: Scratch, docs: DataFrame, known: DataFrame, rest: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame] | None:
+    """(a, b: all pairs that can be near of the texts of a bucket that neither pivots nor links, whose components labels has, have settled; content, text of those); None if there are no such texts."""
     own = scratch.keep(rest.join(labels, F.col("content") == F.col("node"), "left").select("bucket", "content", F.coalesce("label", "content").alias("label")))
     split = own.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("bucket")
     left = scratch.keep(own.join(split, "bucket").select("content", "label").distinct())
@@ -278,9 +299,10 @@ def further(scratch: Scratch, docs: DataFrame, known: DataFrame, rest: DataFrame
     return scratch.keep(met.select(F.col("content_x").alias("a"), F.col("content_y").alias("b")).distinct()), texts.select("content", "text")
 
 
-def linked(scratch: Scratch, docs: DataFrame, known: DataFrame, pairs: DataFrame, links: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
-    """a, b: links, and those of the pairs that are near; pairs within a component are not compared exactly.
+def linked(scratch: Scratch, docs: DataFrame, known: DataFrame, pairs: DataFrame, labels: DataFrame | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """a, b: links that join the components of labels and of the pairs that are near; pairs within a component are not compared exactly.
 
+    labels: node, label of the components so far, if there are some.
     texts: content, text of the pairs' texts, if they are at hand.
     """
     k = BANDS * ROWS
@@ -290,7 +312,7 @@ def linked(scratch: Scratch, docs: DataFrame, known: DataFrame, pairs: DataFrame
     agree = F.when(F.col("plain_a").isNull() & F.col("plain_b").isNull(), agree).otherwise(F.greatest(agree, plain))
     judged = scratch.keep(pairs.join(left, "a").join(right, "b").select("a", "b", agree.alias("agree")).where(F.col("agree") >= HOPELESS))
     sure = judged.where(F.col("agree") >= SURE).select("a", "b")
-    sure = sure if links is None else links.union(sure)
+    sure = sure if labels is None else stars(labels).union(sure)
     labels = components(scratch, sure)
     open_pairs = judged.where(F.col("agree") < SURE)
     of = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias(f"label_{c}"))
@@ -299,7 +321,7 @@ def linked(scratch: Scratch, docs: DataFrame, known: DataFrame, pairs: DataFrame
     if texts is None:
         texts = scratch.keep(fetched(docs, known, open_pairs.select(F.explode(F.array("a", "b")).alias("content")).distinct()))
     both = open_pairs.join(texts.select(F.col("content").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("content").alias("b"), F.col("text").alias("text_b")), "b")
-    found = scratch.keep(both.mapInArrow(compared, "a binary, b binary").union(sure))
+    found = scratch.keep(both.mapInArrow(compared, "a binary, b binary").union(stars(labels)))
     scratch.discard(judged, open_pairs, texts)
     return found
 
@@ -310,13 +332,12 @@ def classes(docs: DataFrame) -> DataFrame:
     rows = scratch.keep(describe(docs))
     known = scratch.keep(rows.groupBy("content").agg(F.first("sig").alias("sig"), F.first("plain").alias("plain"), F.min(F.struct("doc_id", "version")).alias("first")))
     pairs, rest = (scratch.keep(x) for x in candidates(scratch, known))
-    links = linked(scratch, docs, known, pairs)
-    scratch.drop(rows, known, rest, links)
-    more = further(scratch, docs, known, rest, links)
+    labels = components(scratch, linked(scratch, docs, known, pairs))
+    scratch.drop(rows, known, rest, labels)
+    more = further(scratch, docs, known, rest, labels)
     if more is not None:
-        links = linked(scratch, docs, known, more[0], links, more[1])
-    scratch.drop(rows, known, links)
-    labels = components(scratch, links)
+        labels = components(scratch, linked(scratch, docs, known, more[0], labels, more[1]))
+    scratch.drop(rows, known, labels)
     named = scratch.keep(known.select("content", "first").join(labels, F.col("content") == F.col("node"), "left").select("content", F.coalesce("label", "content").alias("label"), "first"))
     sizes = rows.groupBy("content").count()
     whole = scratch.keep(named.join(sizes, "content").groupBy("label").agg(F.min("first").getField("doc_id").alias("class_id"), F.sum("count").alias("class_rows")))

@@ -343,6 +343,49 @@ def test_near_dedup_of_copies_that_repeat_a_passage(spark):
     assert [got[i] for i in range(len(texts))] == brute_classes(texts) == [0, 0, 0, 3]
 
 
+def test_components_are_union_find(spark):
+    """Paths in three orders, a clique, stars with a small and a large centre, random links."""
+    rng, links = random.Random(2), [(2000, 2000)]
+    for k, order in enumerate([range(60), reversed(range(60)), rng.sample(range(60), 60)]):
+        path = [100 * k + i for i in order]
+        links += list(zip(path, path[1:], strict=False))
+    links += [(300 + i, 300 + j) for i in range(30) for j in range(i)] + [(400, 401 + i) for i in range(30)] + [(599, 500 + i) for i in range(30)]
+    links += [(rng.randrange(600, 900), rng.randrange(600, 900)) for _ in range(200)]
+    root = list(range(1000))
+    for a, b in (x for x in links * 60 if x[0] < 1000):
+        root[a] = root[b] = min(root[a], root[b])
+    scratch = dartdedup.Scratch(spark, "components")
+    got = dartdedup.components(scratch, spark.createDataFrame(links, "a long, b long"))
+    assert {r.node: r.label for r in got.collect()} == {x: root[x] for a, b in links if a != b for x in (a, b)}
+    assert got.count() == got.select("node").distinct().count()
+    scratch.drop(got)
+    assert dartdedup.components(scratch, spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_near_dedup_walks_links_of_a_group_once(spark, monkeypatch):
+    """One group of near copies: when its links are known, one for each text is carried on, not all of them."""
+    rng = random.Random(8)
+    base, texts, sizes = [f"w{i}" for i in range(300)], [], []
+    for _ in range(150):
+        copy = list(base)
+        for at in rng.sample(range(300), 2):
+            copy[at] = f"x{rng.randrange(10**9)}"
+        texts.append(" ".join(copy))
+    texts += [f"y{i} z{i}" for i in range(3)]
+    real = dartdedup.components
+    monkeypatch.setattr(dartdedup, "components", lambda scratch, links: (sizes.append(links.count()), real(scratch, links))[1])
+    usual = dartdedup.candidates
+
+    def all_left(scratch, found):  # the exact stage has texts of two components to look at
+        pairs, _ = usual(scratch, found)
+        return pairs, found.where("sig is not null").select(dartdedup.F.lit(1).cast("long").alias("bucket"), "content")
+
+    monkeypatch.setattr(dartdedup, "candidates", all_left)
+    got = {r.doc_id: r.class_id for r in dartdedup.classes(frame(spark, texts)).collect()}
+    assert [got[i] for i in range(len(texts))] == brute_classes(texts) == [0] * 150 + [150, 151, 152]
+    assert len(sizes) == 4 and max(sizes[2:]) <= len(texts)
+
+
 def test_near_dedup_finds_what_pivots_leave(spark, monkeypatch):
     """All texts in one bucket whose pivots are like none: the exact stage alone has to find the links."""
     rng, texts = random.Random(11), []
