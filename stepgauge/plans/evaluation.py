@@ -57,9 +57,9 @@ def matched_atoms(predictions: DataFrame, reference: DataFrame, encoder: Encoder
     path = trees.path(F.col("subquestion_index"), F.col("steps"))
     atoms = lambda rows: trees.atoms(rows, CASE).select(*SUB, "atom_index", path.alias("path"), *[_texts(f).alias(f) for f in trees.ATOM_FIELDS])
     fields = {f"v_{f}": f for f in trees.ATOM_FIELDS}
-    # each side's vectors serve two or three dimensions
-    gt = with_vectors(atoms(reference), [*SUB, "atom_index"], {k: v for k, v in fields.items() if v != "preconditions"}, encoder)
-    model = with_vectors(atoms(predictions), [*SUB, "atom_index"], fields, encoder)
+    # each side's vectors serve two or three dimensions, and are read twice for each
+    gt = kept(with_vectors(atoms(reference), [*SUB, "atom_index"], {k: v for k, v in fields.items() if v != "preconditions"}, encoder), "references")
+    model = kept(with_vectors(atoms(predictions), [*SUB, "atom_index"], fields, encoder), "predicted")
     out = None
     for dimension, field in DIMENSIONS.items():
         left = gt.select(*SUB, F.col("atom_index").alias("gt_atom_index"), F.col("path").alias("gt_atom_path"), F.col(f"v_{field}").alias("gt_vectors"), display(F.col(field)).alias("gt_text"))
@@ -67,7 +67,7 @@ def matched_atoms(predictions: DataFrame, reference: DataFrame, encoder: Encoder
         rows = align.matrix(left, right, SUB, threshold).withColumns({"dimension": F.lit(dimension), "field": F.lit(field), "gt_source": F.lit(None).cast("string")})
         out = rows if out is None else out.unionByName(rows)
     targets = required_statements(reference, CASE, subquestions).withColumn("__one", F.array("text"))
-    targets = with_vectors(targets, [*SUB, "gt_atom_index"], {"gt_vectors": "__one"}, encoder)
+    targets = kept(with_vectors(targets, [*SUB, "gt_atom_index"], {"gt_vectors": "__one"}, encoder), "targets")
     left = targets.select(*SUB, "gt_atom_index", F.col("path").alias("gt_atom_path"), "gt_source", "gt_vectors", F.col("text").alias("gt_text"))
     right = model.select(*SUB, F.col("atom_index").alias("model_atom_index"), F.col("path").alias("model_atom_path"), F.col("v_preconditions").alias("model_vectors"), display(F.col("preconditions")).alias("model_text"))
     rows = align.targets_matrix(left, right, SUB, threshold).withColumns({"dimension": F.lit("D4"), "field": F.lit("required_precondition_coverage")})
