@@ -1,8 +1,8 @@
 """Scans: trees of text files as tables, with what their paths tell about them.
 
-A scan lists files with Spark, so any store that Spark reads will do.  Paths are
-relative to the scan's root; a filter on what a path tells is put before the
-column of texts is looked at.
+The executors list and read the files (``listing``); a store that Arrow doesn't
+reach is read by Spark.  Paths are relative to the scan's root; a filter on what
+a path tells is put before the file is read.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from stepgauge.functions import text as T
 from stepgauge.schemas import STATEMENT_COLUMNS
+from stepgauge.sources import listing
 from stepgauge.sources.config import accepts
 
 
@@ -22,15 +23,40 @@ class ScanError(ValueError):
     """A scan that finds nothing to read, or what must not be there twice."""
 
 
-def texts(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:
-    """path (below root), text: each file below root whose name fits the glob, as one row."""
+def texts(spark: SparkSession, root: str, glob: str | None = None, ordered: bool = False) -> DataFrame:
+    """path (below root), text: each file below root whose name fits the glob, as one row; ``ordered``: by path.
+
+    Files are found now, and read where their text is wanted.
+    """
+    if not listing.reachable(root):
+        rows = _by_spark(spark, root, glob)
+        return rows.orderBy("path") if ordered else rows
+    found = listing.listed(spark, root, glob)
+    if found is None:
+        raise ScanError(f"can't read {root}")
+    return listing.spread(found, ordered).select("path", listing.contents(root)("path").cast("string").alias("text"))
+
+
+def _by_spark(spark: SparkSession, root: str, glob: str | None) -> DataFrame:
+    """``texts`` of a store that only Spark reads, whose readers pass over empty files: these are listed by the driver."""
     base = re.sub(r"^\w+:/*", "/", root.rstrip("/"))
     try:
         rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     except AnalysisException as missing:
         raise ScanError(f"can't read {root}") from missing
     at = F.regexp_replace(F.col("_metadata.file_path"), r"^\w+:/*", "/")
-    return rows.select(F.substring(at, F.lit(len(base) + 2), F.length(at)).alias("path"), F.col("value").alias("text"))
+    rows = rows.select(F.substring(at, F.lit(len(base) + 2), F.length(at)).alias("path"), F.col("value").alias("text"))
+    if re.search(r"[*?\[\]{}]", root):
+        return rows
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found, empty = place.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(place, True), []
+    while found.hasNext():
+        file = found.next()
+        if not file.getLen():
+            path = re.sub(r"^\w+:/*", "/", file.getPath().toString())[len(base) + 1 :]
+            if not any(map(listing.hidden, path.split("/"))) and (not glob or re.match(listing.glob_pattern(glob), path.rsplit("/", 1)[-1])):
+                empty.append((path, ""))
+    return rows.unionByName(spark.createDataFrame(empty, "path string, text string")) if empty else rows
 
 
 def required(rows: DataFrame, what: str) -> DataFrame:
@@ -58,13 +84,13 @@ TEX_NAME = r"(?:.*/)?(pc[0-9]+_q[0-9]+)_([\p{L}]+)\.tex"
 
 def downloaded_tex(spark: SparkSession, root: str) -> DataFrame:
     """path, text, name, language, target of downloaded exercises pc{n}_q{m}_{language}.tex."""
-    rows = _parts(texts(spark, root, "pc*_q*_*.tex"), TEX_NAME, ["name", "language"])
-    return required(rows, f"exercises below {root}").withColumn("target", F.concat("language", F.lit("/"), "name", F.lit(".tex"))).orderBy("path")
+    rows = _parts(texts(spark, root, "pc*_q*_*.tex", ordered=True), TEX_NAME, ["name", "language"])
+    return required(rows, f"exercises below {root}").withColumn("target", F.concat("language", F.lit("/"), "name", F.lit(".tex")))
 
 
 def annotated_tex(spark: SparkSession, root: str) -> DataFrame:
     """path, text of annotated exercises, and where their YAML goes."""
-    return texts(spark, root, "*.tex").withColumn("target", F.regexp_replace("path", r"\.tex$", ".yaml")).orderBy("path")
+    return texts(spark, root, "*.tex", ordered=True).withColumn("target", F.regexp_replace("path", r"\.tex$", ".yaml"))
 
 
 EXERCISE_NAME = r"(?:([^/]+)/(?:.*/)?)?(pc([0-9]+)_q([0-9]+))\.(yaml|yml|json)"
