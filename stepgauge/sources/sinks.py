@@ -16,13 +16,14 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs as arrow_fs
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stepgauge.functions import text as T
 from stepgauge.schemas import BEST_COLUMNS, COVERAGE_COLUMNS, MATRIX_COLUMNS, ORDER_COLUMNS, STATEMENT_COLUMNS
+from stepgauge.sources import files, listing
 from stepgauge.sources.config import formatted
+from stepgauge.sources.listing import located
 from stepgauge.sources.scratch import kept
 from stepgauge.sources.trees import dumped
 
@@ -71,17 +72,13 @@ def write_yaml(path: str, data: object, overwrite: bool = True) -> bool:
     return write_text(path, dumped(data), overwrite)
 
 
-def located(root: str) -> str:
-    """A folder's address for executors: as given if it has a scheme, else the absolute path."""
-    return root if re.match(r"\w+:/", root) else os.path.abspath(root)
-
-
 def exported(rows: DataFrame, root: str, target: str = "target", text: str = "text", overwrite: bool = True) -> DataFrame:
     """A file for each row, by its target path below root; target and status ('written', or 'skipped' if it was there)."""
     folder = located(root)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = arrow_fs.FileSystem.from_uri(folder)
+        made = set()
         for batch in batches:
             status = []
             for name, body in zip(batch.column("target").to_pylist(), batch.column("text").to_pylist(), strict=True):
@@ -90,7 +87,9 @@ def exported(rows: DataFrame, root: str, target: str = "target", text: str = "te
                     status.append("skipped")
                     continue
                 parent, _, last = path.rpartition("/")
-                store.create_dir(parent, recursive=True)
+                if parent not in made:
+                    store.create_dir(parent, recursive=True)
+                    made.add(parent)
                 temporary = f"{parent}/.{last}.{uuid.uuid4().hex}.tmp"
                 with store.open_output_stream(temporary) as out:
                     out.write((body or "").encode())
@@ -108,13 +107,14 @@ def export(rows: DataFrame, root: str, target: str = "target", text: str = "text
 
 def existing(spark: SparkSession, root: str) -> DataFrame:
     """target: the files below root, by their path below it; none if there is no such folder."""
-    base = re.sub(r"^\w+:/*", "/", located(root).rstrip("/"))
-    try:
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
-    except AnalysisException:
-        return spark.createDataFrame([], "target string")
-    at = F.regexp_replace("path", r"^\w+:/*", "/")
-    return files.select(F.substring(at, F.lit(len(base) + 2), F.length(at)).alias("target"))
+    if listing.reachable(root):
+        found = listing.listed(spark, root)
+    else:
+        try:
+            found = files.texts(spark, root)
+        except files.ScanError:
+            found = None
+    return spark.createDataFrame([], "target string") if found is None else found.select(F.col("path").alias("target"))
 
 
 def removed(targets: DataFrame, root: str) -> int:
