@@ -32,14 +32,30 @@ class Rewrite:
         return c
 
     def text(self, s: str) -> str:
-        for pattern, into in self.compiled:
-            s = pattern.sub(into, s)
+        for (pattern, into), (source, plain) in zip(self.compiled, self.steps, strict=True):
+            if (source, plain) == _ENDS:
+                s = s.strip(BLANKS)
+            elif (may := _NEEDS.get(source)) is None or may(s):
+                s = pattern.sub(into, s)
         return s
 
     def then(self, *others: Rewrite) -> Rewrite:
         return Rewrite(*self.steps, *(step for other in others for step in other.steps))
 
 
+#: What a string must have for an expression to match at all; cheaper to look for than the expression.
+_NEEDS = {
+    r"(?s)\\titledquestion\{(.*?)\}": lambda s: "\\titledquestion{" in s,
+    r"\\item\[[^\]]*\]": lambda s: "\\item[" in s,
+    r"\\(?:begin|end)\{(?:itemize|enumerate)\}": lambda s: "\\" in s,
+    rf"^(?:{BLANK}|%)+": lambda s: s[:1] in BLANKS or s[:1] == "%",
+    r"\s*\(Step\s+\d+\)\.?$": lambda s: "(Step" in s,
+    r"[ :;]+$": lambda s: s[-1:] in " :;\n",
+    r"[.,](\$)?$": lambda s: s[-1:] in ".,$\n",
+    r"\s+(?:and|et)$": lambda s: s.endswith(("and", "et", "\n")),
+    r"^(?:and|et)\s+": lambda s: s.startswith(("and", "et")),
+    r"^which directly gives\s+": lambda s: s.startswith("which"),
+}
 _ENDS, _RUNS = (rf"^{BLANK}+|{BLANK}+$", ""), (rf"{BLANK}+", " ")
 
 
