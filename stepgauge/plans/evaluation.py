@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from stepgauge.functions.rewrite import statements
 from stepgauge.functions.text import display
-from stepgauge.functions.vectors import Encoder, with_vectors
+from stepgauge.functions.vectors import Encoder, encoded, texts_of, with_vectors
 from stepgauge.operators import align, coverage, judge, metrics, order
 from stepgauge.operators.align import SOURCES
 from stepgauge.schemas import BEST_COLUMNS, CASE, DIMENSIONS, MATRIX_COLUMNS, ORDER_COLUMNS
@@ -49,29 +49,44 @@ def required_statements(reference: DataFrame, keys: list[str], subquestions: Dat
     return out.select(*sub_key, "gt_atom_index", "gt_source", F.col("place.path").alias("path"), "text")
 
 
-def matched_atoms(predictions: DataFrame, reference: DataFrame, encoder: Encoder, threshold: Column, subquestions: DataFrame) -> DataFrame:
-    """The whole matrix: outcomes (D1), arguments (D3) and required statements (D4) against the predicted atoms.
+def matched_atoms(predictions: DataFrame, reference: DataFrame, encoder: Encoder, threshold: Column, subquestions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The whole matrix: outcomes (D1), arguments (D3) and required statements (D4) against the predicted atoms; and the paths and texts of both sides.
 
-    reference has the predictions' case columns already; threshold is a column over them.
+    Texts are not repeated for each pair: ``named_pairs`` joins them where they are wanted.  reference has the predictions' case columns already; threshold is a column over them.
     """
     path = trees.path(F.col("subquestion_index"), F.col("steps"))
     atoms = lambda rows: trees.atoms(rows, CASE).select(*SUB, "atom_index", path.alias("path"), *[_texts(f).alias(f) for f in trees.ATOM_FIELDS])
     fields = {f"v_{f}": f for f in trees.ATOM_FIELDS}
-    # each side's vectors serve two or three dimensions, and are read twice for each
-    gt = kept(with_vectors(atoms(reference), [*SUB, "atom_index"], {k: v for k, v in fields.items() if v != "preconditions"}, encoder), "references")
-    model = kept(with_vectors(atoms(predictions), [*SUB, "atom_index"], fields, encoder), "predicted")
-    out = None
+    # atoms and statements are read for their texts and for each dimension; a text is encoded once for all of them
+    theirs, own = kept(atoms(reference), "references"), kept(atoms(predictions), "predicted")
+    targets = kept(required_statements(reference, CASE, subquestions).withColumn("__one", F.array("text")), "targets")
+    texts = texts_of(theirs, *DIMENSIONS.values()).unionByName(texts_of(own, *fields.values())).unionByName(targets.select("text"))
+    vectors = kept(encoded(texts, encoder), "vectors")
+    gt = kept(with_vectors(theirs, [*SUB, "atom_index"], {k: v for k, v in fields.items() if v in DIMENSIONS.values()}, None, vectors), "references")
+    model = kept(with_vectors(own, [*SUB, "atom_index"], fields, None, vectors), "predicted")
+    targets = kept(with_vectors(targets, [*SUB, "gt_atom_index"], {"gt_vectors": "__one"}, None, vectors), "targets")
+    named = lambda rows, i, dimension, *more: rows.select(*SUB, F.lit(dimension).alias("dimension"), F.col("atom_index").alias(i), *more)
+    out = asked = offered = None
     for dimension, field in DIMENSIONS.items():
-        left = gt.select(*SUB, F.col("atom_index").alias("gt_atom_index"), F.col("path").alias("gt_atom_path"), F.col(f"v_{field}").alias("gt_vectors"), display(F.col(field)).alias("gt_text"))
-        right = model.select(*SUB, F.col("atom_index").alias("model_atom_index"), F.col("path").alias("model_atom_path"), F.col(f"v_{field}").alias("model_vectors"), display(F.col(field)).alias("model_text"))
+        left = gt.select(*SUB, F.col("atom_index").alias("gt_atom_index"), F.col(f"v_{field}").alias("gt_vectors"))
+        right = model.select(*SUB, F.col("atom_index").alias("model_atom_index"), F.col(f"v_{field}").alias("model_vectors"))
         rows = align.matrix(left, right, SUB, threshold).withColumns({"dimension": F.lit(dimension), "field": F.lit(field), "gt_source": F.lit(None).cast("string")})
         out = rows if out is None else out.unionByName(rows)
-    targets = required_statements(reference, CASE, subquestions).withColumn("__one", F.array("text"))
-    targets = kept(with_vectors(targets, [*SUB, "gt_atom_index"], {"gt_vectors": "__one"}, encoder), "targets")
-    left = targets.select(*SUB, "gt_atom_index", F.col("path").alias("gt_atom_path"), "gt_source", "gt_vectors", F.col("text").alias("gt_text"))
-    right = model.select(*SUB, F.col("atom_index").alias("model_atom_index"), F.col("path").alias("model_atom_path"), F.col("v_preconditions").alias("model_vectors"), display(F.col("preconditions")).alias("model_text"))
+        names = named(gt, "gt_atom_index", dimension, F.col("path").alias("gt_atom_path"), display(F.col(field)).alias("gt_text"))
+        asked = names if asked is None else asked.unionByName(names)
+        names = named(model, "model_atom_index", dimension, F.col("path").alias("model_atom_path"), display(F.col(field)).alias("model_text"))
+        offered = names if offered is None else offered.unionByName(names)
+    left = targets.select(*SUB, "gt_atom_index", "gt_source", "gt_vectors")
+    right = model.select(*SUB, F.col("atom_index").alias("model_atom_index"), F.col("v_preconditions").alias("model_vectors"))
     rows = align.targets_matrix(left, right, SUB, threshold).withColumns({"dimension": F.lit("D4"), "field": F.lit("required_precondition_coverage")})
-    return out.unionByName(rows)
+    asked = asked.unionByName(targets.select(*SUB, F.lit("D4").alias("dimension"), "gt_atom_index", F.col("path").alias("gt_atom_path"), F.col("text").alias("gt_text")))
+    offered = offered.unionByName(named(model, "model_atom_index", "D4", F.col("path").alias("model_atom_path"), display(F.col("preconditions")).alias("model_text")))
+    return out.unionByName(rows), asked, offered
+
+
+def named_pairs(matrix: DataFrame, asked: DataFrame, offered: DataFrame) -> DataFrame:
+    """A matrix with its atoms' paths and texts."""
+    return matrix.join(asked.distinct(), [*SUB, "dimension", "gt_atom_index"], "left").join(offered.distinct(), [*SUB, "dimension", "model_atom_index"], "left")
 
 
 def evaluate(
@@ -100,22 +115,23 @@ def evaluate(
     reference = good.select(*CASE, F.col("gt_assumption_global").alias("assumption_global"), F.col("gt_subquestions").alias("subquestions"))
     numbers = F.explode(F.when(F.greatest(F.size("subquestions"), F.size("gt_subquestions")) > 0, F.sequence(F.lit(1), F.greatest(F.size("subquestions"), F.size("gt_subquestions")))))
     subquestions = good.select(*CASE, numbers.alias("subquestion_index"))
-    matrix = matched_atoms(good, reference, encoder, limit, subquestions)
+    matrix, *names = matched_atoms(good, reference, encoder, limit, subquestions)
     decisions = None
     if second is None:
         matrix = judge.unjudged(matrix)
     else:
-        matrix = judge.keyed(matrix, template, judge_model)
+        # a decision's key has the texts
+        matrix = judge.keyed(named_pairs(matrix, *names), template, judge_model)
         known = known_decisions if known_decisions is not None else predictions.sparkSession.createDataFrame([], judge.DECISION)
         asking = matrix.where(judge.in_band(F.col("score"), *band, F.col("model_atom_index")))
         fresh = kept(judge.decide(asking, known, template, second), "decisions")  # the matrix and the cache have the same answers
         decisions = known.select("cache_key", "label", "confidence", "reason", "raw_response").join(asking.select("cache_key").distinct(), "cache_key", "left_semi").withColumn("cache_hit", F.lit(True)).unionByName(fresh.withColumn("cache_hit", F.lit(False)))
-        matrix = judge.applied(matrix, decisions, *band)
+        matrix = judge.applied(matrix, decisions, *band).drop("gt_atom_path", "gt_text", "model_atom_path", "model_text")
     matrix = kept(matrix, "matrix")  # six tables are made from it
-    return tables(cases, matrix, reference, limit) | coverage_tables(predictions, ground_truth, expected or {}) | ({"decisions": decisions} if decisions is not None else {})
+    return tables(cases, matrix, reference, limit, names) | coverage_tables(predictions, ground_truth, expected or {}) | ({"decisions": decisions} if decisions is not None else {})
 
 
-def tables(cases: DataFrame, matrix: DataFrame, reference: DataFrame, threshold: Column) -> dict[str, DataFrame]:
+def tables(cases: DataFrame, matrix: DataFrame, reference: DataFrame, threshold: Column, names: list[DataFrame]) -> dict[str, DataFrame]:
     """What follows from a matrix: best matches, order constraints, case and source summaries."""
     gt_atoms = trees.atoms(reference, CASE).select(*SUB, F.col("atom_index").alias("gt_atom_index"), "steps")
     everything = None
@@ -147,7 +163,7 @@ def tables(cases: DataFrame, matrix: DataFrame, reference: DataFrame, threshold:
     out = out.withColumns(metrics.overall(F.col("D1_mean_best_score"), F.col("D3_mean_best_score"), F.col("D4_mean_best_score"), F.col("D2_strict_order_score")))
     sources = metrics.source_summary(matrix.where("dimension = 'D4'"), CASE, ["subquestion_index"])
     return {
-        "matrix": matrix.select(*CASE, *MATRIX_COLUMNS), "best_matches": best.select(*CASE, *BEST_COLUMNS), "order": judged.select(*CASE, *ORDER_COLUMNS), "summary": out,
+        "matrix": named_pairs(matrix, *names).select(*CASE, *MATRIX_COLUMNS), "best_matches": best.select(*CASE, *BEST_COLUMNS), "order": judged.select(*CASE, *ORDER_COLUMNS), "summary": out,
         "sources": sources, "by_model": group_report(out, sources, ["language", "variation", "call1_model"]), "by_model_strategy": group_report(out, sources, ["language", "variation", "call1_model", "strategy"]),
     }
 
